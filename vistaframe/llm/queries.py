@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .packing import op3_packing
+from .quality_lines import OP2_SQL, op2_quality_lines
 
-QUERIES = {"op3_packing": op3_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op2_quality_lines": op2_quality_lines, "op3_packing": op3_packing}
+ORACLE_SQL: dict[str, str] = {"op2_quality_lines": OP2_SQL}
