@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .decontam import OP4_SQL, op4_decontam
 from .packing import op3_packing
 from .quality_lines import OP2_SQL, op2_quality_lines
 
-QUERIES = {"op2_quality_lines": op2_quality_lines, "op3_packing": op3_packing}
-ORACLE_SQL: dict[str, str] = {"op2_quality_lines": OP2_SQL}
+QUERIES = {"op2_quality_lines": op2_quality_lines, "op3_packing": op3_packing, "op4_decontam": op4_decontam}
+ORACLE_SQL: dict[str, str] = {"op2_quality_lines": OP2_SQL, "op4_decontam": OP4_SQL}
