@@ -6,7 +6,8 @@ from .decontam import OP4_SQL, op4_decontam
 from .packing import op3_packing
 from .quality_lines import OP2_SQL, op2_quality_lines
 
+from .secrets import OP5_SQL, op5_secrets
 from .simhash import op8_simhash
 
-QUERIES = {"op2_quality_lines": op2_quality_lines, "op3_packing": op3_packing, "op4_decontam": op4_decontam, "op8_simhash": op8_simhash}
-ORACLE_SQL: dict[str, str] = {"op2_quality_lines": OP2_SQL, "op4_decontam": OP4_SQL}
+QUERIES = {"op2_quality_lines": op2_quality_lines, "op3_packing": op3_packing, "op4_decontam": op4_decontam, "op5_secrets": op5_secrets, "op8_simhash": op8_simhash}
+ORACLE_SQL: dict[str, str] = {"op2_quality_lines": OP2_SQL, "op4_decontam": OP4_SQL, "op5_secrets": OP5_SQL}
