@@ -7,7 +7,8 @@ from .packing import op3_packing
 from .quality_lines import OP2_SQL, op2_quality_lines
 
 from .secrets import OP5_SQL, op5_secrets
+from .sharding import op10_sharding
 from .simhash import op8_simhash
 
-QUERIES = {"op2_quality_lines": op2_quality_lines, "op3_packing": op3_packing, "op4_decontam": op4_decontam, "op5_secrets": op5_secrets, "op8_simhash": op8_simhash}
+QUERIES = {"op2_quality_lines": op2_quality_lines, "op3_packing": op3_packing, "op4_decontam": op4_decontam, "op5_secrets": op5_secrets, "op8_simhash": op8_simhash, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {"op2_quality_lines": OP2_SQL, "op4_decontam": OP4_SQL, "op5_secrets": OP5_SQL}
