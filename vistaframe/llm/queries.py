@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from .decontam import OP4_SQL, op4_decontam
+from .html_extract import op1_html_extract
 from .packing import op3_packing
 from .quality_lines import OP2_SQL, op2_quality_lines
-
 from .secrets import OP5_SQL, op5_secrets
 from .sharding import op10_sharding
 from .simhash import op8_simhash
 from .toxicity import op6_toxicity
 
-QUERIES = {"op2_quality_lines": op2_quality_lines, "op3_packing": op3_packing, "op4_decontam": op4_decontam, "op5_secrets": op5_secrets, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash, "op10_sharding": op10_sharding}
+QUERIES = {"op1_html_extract": op1_html_extract, "op2_quality_lines": op2_quality_lines, "op3_packing": op3_packing, "op4_decontam": op4_decontam, "op5_secrets": op5_secrets, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {"op2_quality_lines": OP2_SQL, "op4_decontam": OP4_SQL, "op5_secrets": OP5_SQL}
