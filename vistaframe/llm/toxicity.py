@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -179,7 +180,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of words of the bounded sample
     schema = docs.select(*keep).schema.add("score", "double")
     if locate:
-        schema = schema.add("offending", "array<int>")
+        schema = schema.add("offending", T.ArrayType(T.IntegerType()))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
