@@ -2,8 +2,9 @@
 
 ``features(model, technique, label, k, imageid, vec)`` lies in folders by
 model, technique and label; a scan of one of them prunes the rest. An upsert
-writes a new version of the partition beside the old one and switches the
-pointer, so readers see the old rows or the new, never half of them.
+writes a new version of the partition beside the old one, then renames a file
+that names it into place, so readers see the old rows or the new, never half of
+them, and a crash on the way changes nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import label_key, vector_from_text, vector_to_text
-from ..storage import exists, file_system
+from ..storage import file_system
 
 MODELS = ("m", "s", "h", "l")
 TECHNIQUES = ("pca", "svd", "nmf", "lda")
@@ -43,11 +44,16 @@ class FeatureStore:
         check(model, technique)
         return f"{self.path}/model={model}/technique={(technique or NONE).lower()}/label={label_key(label) if label else NONE}"
 
+    def _pointers(self, folder: str) -> list[str]:
+        """Files that name a version, the newest last."""
+        at, files = file_system(self.spark, folder)
+        if not files.exists(at):
+            return []
+        return sorted(n for x in files.listStatus(at) if (n := str(x.getPath().getName())).startswith("current-"))
+
     def _current(self, folder: str) -> str | None:
-        pointer = f"{folder}/_current"
-        if not exists(self.spark, pointer):
-            return None
-        return f"{folder}/{self.spark.read.text(pointer).first()[0]}"
+        found = self._pointers(folder)
+        return f"{folder}/{self.spark.read.text(f'{folder}/{found[-1]}').first()[0]}" if found else None
 
     def load(self, model: str, technique: str | None = None, label: str | None = None) -> DataFrame:
         """(imageid, vec); no rows if nothing was stored."""
@@ -59,15 +65,15 @@ class FeatureStore:
         """Insert or replace by imageid; of rows with one imageid the least vector stays."""
         folder = self._folder(model, technique, label)
         new = rows.select(F.col("imageid").cast("string"), F.col("vec").cast("array<double>")).groupBy("imageid").agg(F.min("vec").alias("vec"))
-        version = f"v-{uuid.uuid4().hex}"
+        version, number = f"v-{uuid.uuid4().hex}", len(self._pointers(folder))
         upserted(self.load(model, technique, label), new).write.parquet(f"{folder}/{version}")
-        at, files = file_system(self.spark, f"{folder}/_current.{version}")
-        out = files.create(at, True)
+        aside, files = file_system(self.spark, f"{folder}/.{version}")
+        out = files.create(aside, True)
         out.write(bytearray(version.encode()))
         out.close()
-        target, _ = file_system(self.spark, f"{folder}/_current")
-        files.delete(target, False)
-        files.rename(at, target)
+        target, _ = file_system(self.spark, f"{folder}/current-{number:012d}")
+        if files.exists(target) or not files.rename(aside, target):
+            raise RuntimeError(f"another writer has changed {folder}; upsert again")
 
     def lookup(self, imageid: str, model: str, technique: str | None = None, label: str | None = None) -> DataFrame:
         return self.load(model, technique, label).where(F.col("imageid") == imageid)
