@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ascii_lower, materialize, table, words_of
+from .common import NOT_ALNUM, ascii_lower, column, materialize, table, words_of
 from .lets import indices, let
 
 WINDOW, FIRST = 10, 4
@@ -82,7 +82,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep:
     def candidates(w: Column) -> Column:
         return F.concat(*(of_length(w, k) for k in lengths)) if lengths else F.array().cast("array<struct<start:int,length:int,window:string>>")
 
-    names = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
+    names = [column(c).alias(f"__{i}") for i, c in enumerate(keep)]
     scanned = docs.select(*names, F.monotonically_increasing_id().alias("__row"), F.inline(F.array(let(words_of(ascii_lower(F.col("text")), NOT_ALNUM), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), candidates(w).alias("found"))))))
     passed = scanned.select(*(f"__{i}" for i in range(len(keep))), "__row", "n_words", F.inline_outer("found"))
     other = windows.select(F.col("length"), F.col("window"), F.col("items"))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import column, table, words_of
 from .lets import covered, indices, let
 
 MIN_WORDS, MAX_REPEATED, MAX_LOST = 50, 50, 30
@@ -89,7 +89,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
     def words_row(words: Column) -> Column:
         return F.struct(F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), _repeated(words).cast("long").alias("n_repeat_words"))
 
-    kept = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
+    kept = [column(c).alias(f"__{i}") for i, c in enumerate(keep)]
     step = docs.select(*kept, whole.alias("__t")).select("*", F.inline(F.array(let(words_of(F.col("__t")), words_row))), count_of(F.col("__t"), SYMBOLS).cast("long").alias("n_symbols"))
     step = step.select("*", F.inline(F.array(let(F.filter(F.split("__t", "\n", -1), has_word), lines_of))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import column, table
 from .lets import indices, let
 from .secret_rules import ALL, RULES, Rule, trigram_query
 
@@ -98,7 +98,7 @@ def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[
     ``rules``) and end, ascending."""
     found = candidates(docs.select("doc_id", "text"), rules, per_block).persist()
     few = found.count() <= MAX_BROADCAST_ROWS
-    names = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
+    names = [column(c).alias(f"__{i}") for i, c in enumerate(keep)]
     texts = docs.select(*names, F.xxhash64("doc_id").alias("__key"), F.coalesce(F.col("text"), F.lit("")).alias("__t"))
     other = found.select(F.col("key").alias("__of"), "kinds")
     met = texts.join(F.broadcast(other) if few else other, F.col("__key") == F.col("__of"), "left")
@@ -132,11 +132,15 @@ def redact(text: Column, spans: Column, mask: str = MASK) -> Column:
 
 def redact_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents, all their columns, with secrets masked and n_chars (if there) counted anew."""
-    found = scan_secrets(docs, rules, docs.columns).withColumn("text", redact(F.col("text"), F.col("spans")))
-    if "n_chars" in docs.columns:
-        changed = F.size("spans") > 0
-        found = found.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*(column(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    found = scan_secrets(plain, rules, [*names, "text"])
+    masked = found.select(*names, redact(F.col("text"), F.col("spans")).alias("masked"), (F.size("spans") > 0).alias("changed"))
+    out = []
+    for c, n in zip(docs.columns, names, strict=True):
+        new = {"text": F.col("masked"), "n_chars": F.when(F.col("changed"), F.length("masked").cast(docs.schema[c].dataType)).otherwise(F.col(n))}
+        out.append(new.get(c, F.col(n)).alias(c))
+    return masked.select(*out)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

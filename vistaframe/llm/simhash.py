@@ -27,6 +27,7 @@ not carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from .components import components
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Fingerprints under one node of the trie's dealt top, about, and that top's least depth.
 PER_NODE, LEAST_DEPTH = 1 << 18, 6
-BLOCK, LEAF = 1 << 20, 64
+BLOCK, LEAF, CHUNK = 1 << 20, 64, 1 << 18
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -53,10 +54,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], "<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")[0])
+    digest, grams, n, bits = xxhash.xxh64_intdigest, iter(grams), 0, np.zeros(64, np.int64)
+    while part := [digest(g, SEED) for g in islice(grams, CHUNK)]:
+        bits += np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(part)
+    return int(np.packbits(2 * bits > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ label, those of least hash of doc_id, of at most ``max_chars`` characters each.
 Everything else runs over all whole texts, row by row, without a shuffle.
 
 Labels, lang, source and doc_id are no inputs of a score. Rows with
-``crc32(doc_id as text) % 5 = 0`` are held out of the fit.
+``crc32(doc_id as text) % 5 = 0`` are held out of the fit, and null ids too.
 
 Defined results: a null or empty text has no sentence and scores 0; a doc_id
 labelled both ways, or with null, is not used; repeated rows score alike;
@@ -30,11 +30,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import column, table
 
 PER_CLASS, MAX_CHARS, FOLDS = 2500, 20_000, 5
 PREFIXES, LEAST_DOCS, LEAST_LIFT = range(3, 9), 3, 2
@@ -117,6 +117,11 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate:
     return Model({f[1:]: v for f, v in kept.items() if f[0] == "="}, {f: v for f, v in kept.items() if f[0] != "="}, float(b))
 
 
+def noisy_or(p: np.ndarray) -> float:
+    """The probability that one at least of independent events occurs."""
+    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+
+
 class Scorer(dict):
     """Scores texts; as a dict it keeps the weights of tokens met before, up to a bound."""
 
@@ -152,13 +157,17 @@ class Scorer(dict):
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def score(self, text: str | None) -> float:
-        p = self.sentence_scores(text)
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+        return noisy_or(self.sentence_scores(text))
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that the fit never sees; a null id is one of them."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % FOLDS == 0
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> tuple[list, list]:
     """The bounded sample: texts and labels, both held-out rows and ids labelled both ways apart."""
-    free = labels.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
+    free = labels.where(~held_out())
     one = free.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most and toxic in (0, 1)")
     chosen = None
     for label in (0, 1):
@@ -178,22 +187,20 @@ def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
     """The columns of ``keep``, ``score``, and with ``locate`` the ordinals of the
     sentences that score half or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of words of the bounded sample
-    schema = docs.select(*keep).schema.add("score", "double")
-    if locate:
-        schema = schema.add("offending", T.ArrayType(T.IntegerType()))
+    own = docs.select(*(column(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col("text").alias("__text"))
+    schema = T.StructType(own.schema.fields[:-1]).add("__score", "double").add("__offending", T.ArrayType(T.IntegerType()))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             *own, text = batch.columns
-            if locate:
-                found = [scorer.sentence_scores(t.as_py()) for t in text]
-                own += [pa.array([float(1 - np.prod(1 - p)) for p in found]), pa.array([np.flatnonzero(p >= 0.5).tolist() for p in found], pa.list_(pa.int32()))]
-            else:
-                own.append(pa.array([scorer.score(t.as_py()) for t in text], pa.float64()))
-            yield pa.RecordBatch.from_arrays(own, schema.names)
+            found = [scorer.sentence_scores(t.as_py()) for t in text]
+            at = [np.flatnonzero(p >= 0.5).tolist() if locate else None for p in found]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(map(noisy_or, found), pa.float64()), pa.array(at, pa.list_(pa.int32()))], schema.names)
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(kernel, schema)
+    out = own.mapInArrow(kernel, schema)
+    named = [F.col(f"__{i}").alias(c) for i, c in enumerate(keep)]
+    return out.select(*named, F.col("__score").alias("score"), *([F.col("__offending").alias("offending")] if locate else []))
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
@@ -202,11 +209,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_ch
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all their columns, that score below one half."""
-    scored = score_toxicity(docs, learn(docs, labels), tuple(docs.columns))
-    return scored.where("score < 0.5").select(*docs.columns)
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*(column(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col("text"))
+    scored = score_toxicity(plain, learn(docs, labels), tuple(names)).where("score < 0.5")
+    return scored.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
