@@ -10,7 +10,7 @@ def test_stages_in_order():
 
 def test_run_equals_its_stages_and_each_decision_takes_effect(spark, sf, tmp_path):
     from vistaframe.llm.decontam import find_hits
-    from vistaframe.llm.simhash import near_duplicates
+    from vistaframe.llm.simhash import Wider, near_duplicates
     from vistaframe.llm.toxicity import learn, score_toxicity
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -24,7 +24,7 @@ def test_run_equals_its_stages_and_each_decision_takes_effect(spark, sf, tmp_pat
             bad = score_toxicity(docs, learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))).where("score >= 0.5")
             assert ids == sorted({r[0] for r in docs.select("doc_id").collect()} - {r["doc_id"] for r in bad.collect()})
         if name == "near_dedup":
-            assert ids == sorted({r["component_id"] for r in near_duplicates(docs).collect()})
+            assert ids == sorted({r["component_id"] for r in near_duplicates(docs, wider=Wider()).collect()})
         if name == "decontamination":
             bad = find_hits(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).where(F.size("hits") > 0)
             assert ids == sorted({r[0] for r in docs.select("doc_id").collect()} - {r["doc_id"] for r in bad.collect()})

@@ -106,3 +106,47 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "u long, v long")
     out = {r["node"]: r["label"] for r in components(edges).collect()}
     assert all(out[i] == 0 for i in range(61)) and out[101] == 100 and len(out) == 63
+
+
+@pytest.mark.parametrize("bits", range(0, 16))
+def test_orders_cover_every_pair_within_the_budget(bits):
+    from vistaframe.llm.simhash import orders_for
+
+    rng, orders = random.Random(bits), orders_for(bits)
+    for _ in range(300):
+        x = sum(1 << b for b in rng.sample(range(64), bits))
+        assert any(((x << o.turn | x >> (64 - o.turn)) % (1 << 64) >> (64 - o.length)).bit_count() <= o.budget for o in orders)
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_wider_rule_finds_near_copies_and_leaves_others(docs_of):
+    from vistaframe.llm.simhash import Wider, signature
+
+    rng, texts, group = random.Random(2), [], []
+    for g in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for edits in (0, 3, 6, 40):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+            group.append((g, edits))
+    errors = [sum(x == y for x, y in zip(signature(a, sketched=True)[1], signature(b, sketched=True)[1], strict=True)) / 64 - jaccard(a, b) for a, b in zip(texts, texts[1:], strict=False)]
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
+    out = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(texts), wider=Wider()).collect()}
+    near = [out[4 * g] == out[4 * g + k] for g in range(60) for k in (1, 2) if jaccard(texts[4 * g], texts[4 * g + k]) >= 0.83]
+    assert np.mean(near) >= 0.85
+    assert all(out[i] // 4 == i // 4 for i in out) and sum(out[4 * g] == out[4 * g + 3] for g in range(60)) <= 2
+
+
+def test_sketches_of_short_texts():
+    from vistaframe.llm.simhash import signature
+
+    for t in (None, "", "a", "a b c d", "a b c d e", "a b c d e f"):
+        fp, sketch = signature(t, sketched=True)
+        assert len(sketch) == 64 and fp == fingerprint(t)
+    assert signature("a b c d e f", sketched=True)[1] != signature("a b c d e g", sketched=True)[1]

@@ -7,7 +7,8 @@ exceed the budget. Two facts keep that walk narrow:
 
 * a pair within 4 bits has at most 2 errors in its upper 32 bits, or at most
   1 in its lower 32. So the trie is walked in two bit orders, upper half first
-  with a budget of 2 there, lower half first with 1, and 4 over all;
+  with a budget of 2 there, lower half first with 1, and 4 over all (and so for
+  any split of a budget over parts of the bits);
 * node pairs whose leaves all lie in one component already are left as well:
   only components are wanted, and a first walk with a budget of 1 has joined
   the dense groups.
@@ -17,6 +18,10 @@ group, and a fingerprint goes to each group whose budget it can still meet.
 A group gives out at most one link a fingerprint (to the least of its local
 component), never all pairs. Copies share one fingerprint and are not paired.
 
+Four bits find copies that are all but equal. A ``Wider`` rule adds links up to
+more bits that a sketch of the documents' five-word shingles confirms; the
+pipeline uses it, so that copies of a similarity of 0.8 or more are found.
+
 Defined results: no word gives fingerprint zero, which links like any other;
 fewer than four words are one shingle; a null text is empty; a null doc_id
 belongs to a component but never names it unless there is no other; repeated
@@ -27,6 +32,7 @@ not carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
@@ -39,37 +45,80 @@ from .common import materialize, shuffles, table
 from .components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
+SLOTS, MOST = 64, np.uint64((1 << 64) - 1)
+#: Odd multipliers that spread bits.
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Fingerprints under one node of the trie's dealt top, about, and that top's least depth.
 PER_NODE, LEAST_DEPTH = 1 << 18, 6
 BLOCK, LEAF, CHUNK = 1 << 20, 64, 1 << 18
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+@dataclass(frozen=True)
+class Wider:
+    """Links up to ``bits`` if sketches agree in ``similarity`` of their slots.
+
+    A sketch keeps the least hash of five-word shingles in each of ``SLOTS``
+    classes, one byte each; the share of equal slots estimates the Jaccard
+    similarity with a standard error of about 0.05, hence the slack below 0.8.
+    """
+
+    bits: int = 11
+    similarity: float = 0.765
+
+
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, a bounded number at a time."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and ASCII white space, only
     if not words:
-        return 0
-    if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    digest, grams, n, bits = xxhash.xxh64_intdigest, iter(grams), 0, np.zeros(64, np.int64)
+        return
+    grams = iter([b" ".join(words)]) if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    digest = xxhash.xxh64_intdigest
     while part := [digest(g, SEED) for g in islice(grams, CHUNK)]:
-        bits += np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(part)
-    return int(np.packbits(2 * bits > n, bitorder="little").view("<i8")[0])
+        yield np.array(part, "<u8")
+
+
+def signature(text: str | None, shingle: int = SHINGLE, sketched: bool = False) -> tuple[int, bytes | None]:
+    """The fingerprint as a signed 64-bit integer and, if asked for, the sketch."""
+    n, bits, last, least = 0, np.zeros(64, np.int64), None, np.full(SLOTS, MOST, "<u8")
+    for h in shingle_hashes(text, shingle):
+        bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+        if sketched:
+            # two neighbouring shingles stand for the shingle that is one word longer
+            h = h if last is None else np.append(last, h)
+            last = h[-1:]
+            pair = h if n == 1 else (h[:-1] * MIX[0]) ^ ((h[1:] >> np.uint64(31)) * MIX[1]) ^ h[1:]
+            pair = (pair ^ (pair >> np.uint64(29))) * MIX[2]
+            np.minimum.at(least, (pair >> np.uint64(58)).astype(np.intp), pair & np.uint64((1 << 58) - 1))
+    fp = int(np.packbits(2 * bits > n, bitorder="little").view("<i8")[0]) if n else 0
+    return fp, _dense(least) if sketched else None
+
+
+def _dense(least: np.ndarray) -> bytes:
+    """One byte a slot; an empty slot takes the next filled one's, marked by the way there."""
+    filled = np.flatnonzero(least != MOST)
+    if not len(filled):
+        return bytes(SLOTS)
+    slots = np.arange(SLOTS)
+    at = filled[np.searchsorted(filled, slots) % len(filled)]
+    way = ((at - slots) % SLOTS).astype("<u8")
+    return (((least[at] + way * MIX[0]) * MIX[1]) >> np.uint64(56)).astype(np.uint8).tobytes()
+
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return signature(text, shingle)[0]
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; fp is a long."""
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", sketched: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row, and ``sketch`` (else null); fp is a long."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+            found = [signature(t.as_py(), shingle, sketched) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["doc_id", "fp", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(kernel, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(kernel, "doc_id long, fp long, sketch binary")
 
 
 class Linker:
@@ -102,10 +151,32 @@ class Linker:
         return (c[ahi - 1] == c[alo]) & (c[bhi - 1] == c[blo]) & (self.label[alo] == self.label[blo])
 
 
-def walk(keys: np.ndarray, first: tuple[int, int], second: tuple[int, int], half_budget: int, budget: int, depth: int, linker: Linker) -> None:
-    """Walk the node pairs below two nodes (ranges of the sorted ``keys``, equal
-    for a node with itself) and link leaves within the budget. ``half_budget``
-    holds for the first 32 bits. ``depth``: bits that all keys of a node share."""
+@dataclass
+class Order:
+    """A bit order (rotation to the left) and the errors allowed in its first bits."""
+
+    turn: int
+    length: int
+    budget: int
+
+
+def orders_for(bits: int) -> list[Order]:
+    """Split the 64 bits so that a pair within ``bits`` meets the first budget of one
+    order: if each part had more errors than its budget, there were over ``bits``."""
+    parts = 2 if bits <= 5 else 3
+    each, more = divmod(bits + 1 - parts, parts)
+    lengths = [64 // parts + (i < 64 % parts) for i in range(parts)]
+    return [Order(sum(lengths[:i]), lengths[i], each + (i < more)) for i in range(parts) if each + (i < more) >= 0]
+
+
+def rotated(x: np.ndarray, turn: int) -> np.ndarray:
+    return (x << np.uint64(turn)) | (x >> np.uint64(64 - turn)) if turn else x
+
+
+def walk(keys: np.ndarray, first: tuple[int, int], second: tuple[int, int], order: Order, budget: int, depth: int, linker: Linker, near) -> None:
+    """Walk the node pairs below two nodes (ranges of the sorted ``keys``, equal for a
+    node with itself) and link the leaves that ``near`` accepts. ``depth``: bits that
+    all keys of a node share."""
     zeros: dict[int, np.ndarray] = {}
 
     def below(d: int) -> np.ndarray:
@@ -114,7 +185,7 @@ def walk(keys: np.ndarray, first: tuple[int, int], second: tuple[int, int], half
         return zeros[d]
 
     start_err = int(np.bitwise_count((keys[first[0]] ^ keys[second[0]]) >> np.uint64(64 - depth))) if depth else 0
-    if start_err > min(budget, half_budget):
+    if start_err > min(budget, order.budget):
         return
     one = np.array([1])
     stack = [(depth, one * first[0], one * first[1], one * second[0], one * second[1], one * start_err)]
@@ -125,14 +196,14 @@ def walk(keys: np.ndarray, first: tuple[int, int], second: tuple[int, int], half
         size = (ahi - alo) * (bhi - blo)
         leaf = (size <= LEAF) | (d >= 64)
         if leaf.any():
-            compare(keys, alo[leaf], ahi[leaf], blo[leaf], bhi[leaf], half_budget, budget, linker)
+            compare(keys, alo[leaf], ahi[leaf], blo[leaf], bhi[leaf], budget, linker, near)
         alo, ahi, blo, bhi, err = (x[~leaf] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
         z = below(d)
         amid, bmid = alo + z[ahi] - z[alo], blo + z[bhi] - z[blo]
         itself = (alo == blo) & (ahi == bhi)
-        most = min(budget, half_budget) if d < 32 else budget
+        most = min(budget, order.budget) if d < order.length else budget
         parts = []
         for a0, a1, b0, b1, more, twice in ((alo, amid, blo, bmid, 0, False), (amid, ahi, bmid, bhi, 0, False), (alo, amid, bmid, bhi, 1, False), (amid, ahi, blo, bmid, 1, True)):
             ok = (a0 < a1) & (b0 < b1) & (err + more <= most)
@@ -144,7 +215,7 @@ def walk(keys: np.ndarray, first: tuple[int, int], second: tuple[int, int], half
             stack.append((d + 1, *(x[at : at + BLOCK] for x in new)))
 
 
-def compare(keys, alo, ahi, blo, bhi, half_budget: int, budget: int, linker: Linker) -> None:
+def compare(keys, alo, ahi, blo, bhi, budget: int, linker: Linker, near) -> None:
     """Compare all leaves of small node pairs, in blocks."""
     nb = bhi - blo
     size = (ahi - alo) * nb
@@ -158,74 +229,94 @@ def compare(keys, alo, ahi, blo, bhi, half_budget: int, budget: int, linker: Lin
         i, j = alo[of] + k // nb[of], blo[of] + k % nb[of]
         new = linker.label[i] != linker.label[j]
         i, j = i[new], j[new]
-        x = keys[i] ^ keys[j]
-        near = (np.bitwise_count(x) <= budget) & (np.bitwise_count(x >> np.uint64(32)) <= half_budget)
-        if near.any():
-            linker.add(i[near], j[near])
+        bits = np.bitwise_count(keys[i] ^ keys[j])
+        found = np.flatnonzero(bits <= budget)
+        i, j = i[found], j[found]
+        good = near(i, j, bits[found])
+        if good.any():
+            linker.add(i[good], j[good])
         lo = hi
 
 
-def _links(depth: int, half_budgets: tuple[int, int], budget: int):
-    """Groups of rows (order, a, b, key), ascending, to links (u, v) of signed fingerprints."""
+def _links(depth: int, orders: list[Order], max_bits: int, wider: Wider | None):
+    """Groups of rows (group, key, sketch), ascending by group, to links (u, v) of signed fingerprints."""
+    budget = max(max_bits, wider.bits if wider else 0)
+
+    def of_group(group: int, keys: np.ndarray, sketches: np.ndarray | None) -> pa.RecordBatch:
+        order = orders[group % len(orders)]
+        by = np.argsort(keys, kind="stable")
+        keys = keys[by]
+        sketches = None if sketches is None else sketches[by]
+
+        def near(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> np.ndarray:
+            good = bits <= max_bits
+            if wider and not good.all():
+                more = np.flatnonzero(~good)
+                for at in range(0, len(more), BLOCK >> 4):
+                    m = more[at : at + (BLOCK >> 4)]
+                    good[m] = (sketches[i[m]] == sketches[j[m]]).sum(1) >= wider.similarity * SLOTS
+            return good
 
-    def of_group(order: int, keys: np.ndarray) -> pa.RecordBatch:
         linker = Linker(len(keys))
         top = keys >> np.uint64(64 - depth)
         cut = int(np.searchsorted(top, top[-1])) if top[0] != top[-1] else 0
         first, second = ((0, cut), (cut, len(keys))) if cut else ((0, len(keys)),) * 2
         for most in sorted({min(1, budget), budget}):
-            walk(keys, first, second, half_budgets[order], most, depth, linker)
+            walk(keys, first, second, order, most, depth, linker, near)
         child = np.flatnonzero(linker.label != np.arange(len(keys)))
-        fps = keys if order == 0 else (keys << np.uint64(32)) | (keys >> np.uint64(32))
-        fps = fps.view(np.int64)
+        fps = rotated(keys, (64 - order.turn) % 64).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(fps[linker.label[child]]), pa.array(fps[child])], ["u", "v"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
+
+        def done() -> pa.RecordBatch:
+            keys = np.concatenate([k for k, _ in held]).view(np.uint64)
+            return of_group(int(group), keys, np.concatenate([x for _, x in held]) if wider else None)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             g, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SLOTS) if wider else None
             cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if g[lo] != group and held:
-                    yield of_group(int(group & 1), np.sort(np.concatenate(held).view(np.uint64)))
+                    yield done()
                     held = []
                 group = g[lo]
-                held.append(keys[lo:hi])
+                held.append((keys[lo:hi], sketches[lo:hi] if wider else None))
         if held:
-            yield of_group(int(group & 1), np.sort(np.concatenate(held).view(np.uint64)))
+            yield done()
 
     return kernel
 
 
-def link_fingerprints(fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (u, v) that join all of the distinct fingerprints ``fps`` (fp) which
-    chains of pairs within ``max_bits`` join. ``n``: about how many there are."""
-    depth = max(LEAST_DEPTH, int(np.ceil(np.log2(max(n, 1) / PER_NODE))))
-    upper = max_bits // 2
-    half_budgets = (upper, max_bits - upper - 1)
-    orders = []
-    for order, most in enumerate(half_budgets):
-        if most < 0:
-            continue
-        masks = [m for m in range(1 << depth) if m.bit_count() <= most]
-        key = F.col("fp") if order == 0 else F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
+def link_fingerprints(fps: DataFrame, n: int, max_bits: int = MAX_BITS, wider: Wider | None = None) -> DataFrame:
+    """Links (u, v) that join all of the distinct fingerprints ``fps`` (fp, and sketch
+    for a wider rule) which chains of near pairs join. ``n``: about how many there are."""
+    orders = orders_for(max(max_bits, wider.bits if wider else 0))
+    depth = max(4 if wider else LEAST_DEPTH, int(np.ceil(np.log2(max(n, 1) / PER_NODE))))
+    sketch = F.col("sketch") if wider else F.lit(None).cast("binary").alias("sketch")
+    dealt = None
+    for number, order in enumerate(orders):
+        masks = [m for m in range(1 << depth) if m.bit_count() <= order.budget]
+        key = F.col("fp") if not order.turn else F.shiftleft("fp", order.turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - order.turn))
         top = F.shiftrightunsigned(key, 64 - depth)
         other = top.bitwiseXOR(F.col("m"))
-        masked = fps.select("fp", F.explode(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")).alias("m"))
+        masked = fps.select("fp", sketch, F.explode(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")).alias("m"))
         pair = F.call_function("shiftleft", F.least(top, other), F.lit(depth)) + F.greatest(top, other)
-        orders.append(masked.select((2 * pair + order).alias("g"), key.alias("key")))
-    rows = orders[0] if len(orders) == 1 else orders[0].unionByName(orders[1])
-    dealt = rows.repartition(max(shuffles(fps.sparkSession), 8), "g").sortWithinPartitions("g")
-    return dealt.mapInArrow(_links(depth, half_budgets, max_bits), "u long, v long")
+        rows = masked.select((len(orders) * pair + number).alias("g"), key.alias("key"), "sketch")
+        dealt = rows if dealt is None else dealt.unionByName(rows)
+    dealt = dealt.repartition(max(shuffles(fps.sparkSession), 8), "g").sortWithinPartitions("g")
+    return dealt.mapInArrow(_links(depth, orders, max_bits, wider), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, wider: Wider | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
-    rows = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = link_fingerprints(distinct.select("fp"), distinct.count(), max_bits)
+    rows = materialize(fingerprints(docs, shingle, sketched=wider is not None), "fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")), "distinct")
+    links = link_fingerprints(distinct.select("fp", "sketch"), distinct.count(), max_bits, wider)
     labels = components(links)
     of = distinct.join(labels, distinct["fp"] == labels["node"]).select("fp", "label", "least")
     named = of.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -234,10 +325,10 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     return rows.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, wider: Wider | None = None) -> DataFrame:
     """The documents, all their columns, with one document of each component:
     the one with the least doc_id, once (a null doc_id only where there is no other)."""
-    found = materialize(near_duplicates(docs, max_bits, shingle), "components")
+    found = materialize(near_duplicates(docs, max_bits, shingle, wider), "components")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
     if gone.count() <= MAX_BROADCAST_ROWS:  # of one long each
         gone = F.broadcast(gone)
