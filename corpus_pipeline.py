@@ -17,7 +17,7 @@ from vistaframe.llm.common import remove_path, shared_dir, table
 from vistaframe.llm.decontam import decontaminate
 from vistaframe.llm.packing import pack
 from vistaframe.llm.secrets import redact_secrets
-from vistaframe.llm.simhash import drop_near_duplicates
+from vistaframe.llm.simhash import Wider, drop_near_duplicates
 from vistaframe.llm.toxicity import drop_toxic
 
 
@@ -27,8 +27,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: one document of each component of near-duplicates stays."""
-    return drop_near_duplicates(docs)
+    """Operator 8: one document of each component stays, by the wider rule, so that
+    copies of a similarity of 0.8 or more on five-word shingles go too."""
+    return drop_near_duplicates(docs, wider=Wider())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
