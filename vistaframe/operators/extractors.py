@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import map_batches
 from .histograms import EPSILON
 
 POINTS, RADIUS, TILE, STRIDE = 24, 3, 99, 100
@@ -100,7 +101,7 @@ def _extracted(images: DataFrame, function) -> DataFrame:
             vectors = [function(grey(*x)) for x in zip(data, heights, widths, channels, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(vectors, pa.list_(pa.float64()))], ["imageid", "vec"])
 
-    return images.select("image_id", "height", "width", "channels", "data").mapInArrow(kernel, "imageid string, vec array<double>")
+    return map_batches(images.select("image_id", "height", "width", "channels", "data"), kernel, "imageid string, vec array<double>")
 
 
 def textures(images: DataFrame) -> DataFrame:

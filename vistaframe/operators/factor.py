@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..shipping import map_batches
 from .linear import gram_sums, mapped, matrix_of, standard_scale
 
 
@@ -97,7 +98,7 @@ def nmf(rows: DataFrame, k: int, key: str = "imageid", rounds: int = 30, steps:
                     total += np.hstack([w.T @ w, w.T @ x])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int64()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["line", "x"])
 
-        lines = scaled.select("vec").mapInArrow(kernel, "line long, x array<double>").select("line", F.posexplode("x").alias("pos", "x")).groupBy("line", "pos").agg(F.sum("x").alias("x")).collect()
+        lines = map_batches(scaled.select("vec"), kernel, "line long, x array<double>").select("line", F.posexplode("x").alias("pos", "x")).groupBy("line", "pos").agg(F.sum("x").alias("x")).collect()
         out = np.zeros((k, k + d))
         for line, pos, x in lines:
             out[line, pos] = x

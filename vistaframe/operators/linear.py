@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..shipping import map_batches
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
@@ -55,7 +56,7 @@ def gram_sums(rows: DataFrame, vec: str = "vec") -> Sums:
             d = len(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 2), pa.int64()), pa.array([[float(n)], total.tolist(), *gram.tolist()], pa.list_(pa.float64()))], ["line", "x"])
 
-    parts = rows.select(V.doubles(F.col(vec)).alias("vec")).where(F.col("vec").isNotNull()).mapInArrow(kernel, "line long, x array<double>")
+    parts = map_batches(rows.select(V.doubles(F.col(vec)).alias("vec")).where(F.col("vec").isNotNull()), kernel, "line long, x array<double>")
     lines = parts.select("line", F.posexplode("x").alias("pos", "x")).groupBy("line", "pos").agg(F.sum("x").alias("x")).collect()
     if not lines:
         return Sums(0, np.zeros(0), np.zeros((0, 0)))
@@ -88,7 +89,7 @@ def mapped(rows: DataFrame, function, keep: str = "imageid", vec: str = "vec", o
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1] or 1), pa.int32()), pa.array(y.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], [keep, out])
 
-    return rows.select(keep, V.doubles(F.col(vec)).alias("vec")).where(F.col("vec").isNotNull()).mapInArrow(kernel, schema)
+    return map_batches(rows.select(keep, V.doubles(F.col(vec)).alias("vec")).where(F.col("vec").isNotNull()), kernel, schema)
 
 
 def standard_scale(rows: DataFrame, vec: str = "vec", key: str = "imageid") -> DataFrame:
