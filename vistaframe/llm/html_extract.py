@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import map_batches
 from .common import table
 from .labelled_pages import LABELLED
 
@@ -213,7 +214,7 @@ def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"),
             *own, source = batch.columns
             yield pa.RecordBatch.from_arrays([*own, pa.array([extract(x.as_py()) for x in source], pa.string())], schema.names)
 
-    return pages.select(*keep, F.col(source).alias("__html")).mapInArrow(kernel, schema)
+    return map_batches(pages.select(*keep, F.col(source).alias("__html")), kernel, schema)
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,20 @@
 
 Every partition keeps at most ``windows`` open windows of ``size`` tokens. A
 piece goes to the open window that it fits best. If none fits and all windows
-are in use, the fullest is emitted and a new one opened. What stays open at
-the end of a partition is merged: the pieces of ``fan_in`` neighbouring
-partitions' leftovers are packed again by the same rule, round after round,
-until one group is left, whose last open windows are poured together (a piece
-may be cut there, so one sequence at most stays short). A group holds ``fan_in * windows`` windows at most,
-so no task ever gathers an unbounded number of rows.
-
-Defined results: a null or empty text is the single end id; a document longer
-than a window is cut into whole windows and a rest; repeated rows are packed
-each for itself; an empty table gives no rows; further columns are ignored.
+are in use, the fullest is emitted and a new one opened. A document longer than
+a window is first cut to fill the fullest open one, then into whole windows and
+a rest.
+
+What stays open at the end of a partition is merged: the pieces of ``fan_in``
+neighbouring partitions' leftovers are packed again by the same rule, round
+after round, until one group is left, whose last open windows are poured
+together (a piece may be cut there, so one sequence at most stays short). A
+group holds ``fan_in * windows`` windows at most, so no task ever gathers an
+unbounded number of rows.
+
+Defined results: a null or empty text is the single end id; repeated rows are
+packed each for itself; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import map_batches
 from .common import materialize, table
 from .tokens import VOCABULARY, ids_of, vocabulary_path
 
 SIZE, WINDOWS, FAN_IN, END_ID = 1024, 64, 256, 0
+#: The least piece that fills a window with the head of a longer document.
+LEAST_CUT = 8
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part long, open boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("open", pa.bool_())])
@@ -64,6 +71,11 @@ class OpenWindows:
         else:
             insort(self.free, (free - need, window))
 
+    def gap(self, least: int) -> int:
+        """Free tokens of the fullest open window with ``least`` or more; 0 if there is none."""
+        at = bisect_left(self.free, (least, -1))
+        return self.free[at][0] if at < len(self.free) else 0
+
     def rest(self) -> Iterator[tuple[int, list[tuple]]]:
         for _, window in self.free:
             yield window, self.held.pop(window)
@@ -116,8 +128,10 @@ def _first(size: int, windows: int, vocabulary: str, with_ids: bool):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.concatenate([ids_of(text.as_py(), path), end])
                 total = len(ids)
-                for start in range(0, total, size):
-                    cut = ids[start : start + size]
+                # a document that must be cut anyway is first cut to fill the fullest window
+                head = packer.gap(LEAST_CUT) if total > size else 0
+                for start in [*([0] if head else []), *range(head, total, size)]:
+                    cut = ids[start : start + (head if start < head else size)]
                     for window, pieces in packer.place((doc_id, start, len(cut), cut.tobytes() if with_ids else None, total)):
                         out.add(window, pieces, False)
                 if out.tokens >= 1 << 20:
@@ -157,7 +171,7 @@ def pack(docs: DataFrame, size: int = SIZE, windows: int = WINDOWS, fan_in: int
     """Packed pieces of all documents: doc_id, start, length, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    state = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_first(size, windows, vocabulary, with_ids), SCHEMA), "packed")
+    state = materialize(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _first(size, windows, vocabulary, with_ids), SCHEMA), "packed")
     done = [state.where(~F.col("open"))]
     parts = int(state.agg(F.coalesce(F.max("part"), F.lit(-1))).first()[0]) + 1
     level = 0
@@ -165,7 +179,7 @@ def pack(docs: DataFrame, size: int = SIZE, windows: int = WINDOWS, fan_in: int
         level, parts = level + 1, -(-parts // fan_in)
         left = state.where("open").select(F.expr(f"part div {fan_in}").alias("g"), "doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
         dealt = left.repartition(min(parts, 4096), "g").sortWithinPartitions("g", "sequence_id", "offset")
-        packed = dealt.select("g", "doc_id", "start", "length", "ids", "doc_tokens").mapInArrow(_again(size, windows, level << 56, parts == 1), SCHEMA)
+        packed = map_batches(dealt.select("g", "doc_id", "start", "length", "ids", "doc_tokens"), _again(size, windows, level << 56, parts == 1), SCHEMA)
         if parts == 1:
             done.append(packed)
             break

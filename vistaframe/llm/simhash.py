@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import map_batches
 from .common import materialize, shuffles, table
 from .components import components
 
@@ -118,7 +119,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", sk
             found = [signature(t.as_py(), shingle, sketched) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["doc_id", "fp", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(kernel, "doc_id long, fp long, sketch binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col(text)), kernel, "doc_id long, fp long, sketch binary")
 
 
 class Linker:
@@ -309,7 +310,7 @@ def link_fingerprints(fps: DataFrame, n: int, max_bits: int = MAX_BITS, wider: W
         rows = masked.select((len(orders) * pair + number).alias("g"), key.alias("key"), "sketch")
         dealt = rows if dealt is None else dealt.unionByName(rows)
     dealt = dealt.repartition(max(shuffles(fps.sparkSession), 8), "g").sortWithinPartitions("g")
-    return dealt.mapInArrow(_links(depth, orders, max_bits, wider), "u long, v long")
+    return map_batches(dealt, _links(depth, orders, max_bits, wider), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, wider: Wider | None = None) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import map_batches
 from .common import shared_dir, table
 from .tokens import VOCABULARY, ids_of, vocabulary_path
 
@@ -118,7 +119,7 @@ def packed_rows(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY,
         if pieces:
             yield pack(pieces, next_id)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), kernel, SCHEMA)
 
 
 def position_resets(cu_seqlens: Column) -> Column:

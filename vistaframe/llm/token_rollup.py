@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import map_batches
 from .common import materialize, path_exists, shared_dir, table, words_of
 from .tokens import VOCABULARY, ids_of, vocabulary_path
 
@@ -43,7 +44,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, pa.array([len(ids_of(t.as_py(), path)) for t in text], pa.int64())], ["doc_id", "source", "lang", "words", "bpe"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "source", "lang", F.size(words_of(F.col("text"))).cast("long").alias("words"), "text")
-    return rows.mapInArrow(kernel, "doc_id long, source string, lang string, words long, bpe long")
+    return map_batches(rows, kernel, "doc_id long, source string, lang string, words long, bpe long")
 
 
 def inserts(rows: DataFrame, version: str, tokens: str, sign: int = 1) -> DataFrame:

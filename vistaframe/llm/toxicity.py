@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import map_batches
 from .common import column, table
 
 PER_CLASS, MAX_CHARS, FOLDS = 2500, 20_000, 5
@@ -198,7 +199,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
             at = [np.flatnonzero(p >= 0.5).tolist() if locate else None for p in found]
             yield pa.RecordBatch.from_arrays([*own, pa.array(map(noisy_or, found), pa.float64()), pa.array(at, pa.list_(pa.int32()))], schema.names)
 
-    out = own.mapInArrow(kernel, schema)
+    out = map_batches(own, kernel, schema)
     named = [F.col(f"__{i}").alias(c) for i, c in enumerate(keep)]
     return out.select(*named, F.col("__score").alias("score"), *([F.col("__offending").alias("offending")] if locate else []))
 
