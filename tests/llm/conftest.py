@@ -17,7 +17,3 @@ def docs_of(spark):
         return spark.createDataFrame([(d, t, "en", f"src{i % 3}" if i % 4 else None, None if t is None else len(t)) for i, (d, t) in enumerate(rows)], SCHEMA)
 
     return make
-
-
-#: Nulls, empty and blank texts, long ones, repeated rows and ids.
-ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "two words"), (5, "x" * 70_000), (6, "ab cd ef gh " * 9_000), (7, "a\n\nb\r\nc"), (8, "Ünï cödé 漢字 😀 " * 30), (None, None)]

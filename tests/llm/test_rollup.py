@@ -1,7 +1,7 @@
 from collections import Counter
 
 import public_tokenizers
-from conftest import ODD
+from odd_rows import ODD
 from tokenizers import Tokenizer
 
 from vistaframe.llm.queries import QUERIES

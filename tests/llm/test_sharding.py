@@ -2,7 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 
 from vistaframe.llm.sharding import grants, shard
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from vistaframe.llm.components import components

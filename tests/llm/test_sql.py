@@ -1,7 +1,7 @@
 """Operators that SQL can express, against DuckDB."""
 
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 from oracle import rows_of, same
 
 from vistaframe.llm.queries import ORACLE_SQL, QUERIES

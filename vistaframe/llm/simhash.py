@@ -322,7 +322,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     of = distinct.join(labels, distinct["fp"] == labels["node"]).select("fp", "label", "least")
     named = of.groupBy("label").agg(F.min("least").alias("component_id"))
     linked = of.join(named, "label").select("fp", "component_id")
-    known = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # a table of its own, so that the last join has an exchange on either side and adaptive
+    # execution may split a fingerprint that many copies share
+    known = materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "known")
     return rows.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
