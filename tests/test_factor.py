@@ -102,3 +102,20 @@ def test_latent_semantics_and_fold_in(spark):
     fitted = factor.svd(part, 2)
     near = similar_in_latent_space(fitted.reduced, "0", rows, fitted, 4).collect()
     assert near[0]["imageid"] == "0" and near[0]["score"] == 0 and len(near) == 4
+
+
+def test_nearest_to_each_against_numpy(spark):
+    from vistaframe.operators import neighbours
+
+    x = np.vstack([X, X[:2], np.zeros((1, 6))])  # ties, and a row without a norm
+    rows = table(spark, x)
+    for measure, more in (("cosine", 1), ("cosine_similarity", -1), ("euclidean", 1), ("manhattan", 1), ("l2", 1)):
+        d = neighbours.distances(x, x, measure) * more
+        for block in (2, 100):
+            got = {(r["q_id"], r["rank"]): (r["imageid"], r["score"]) for r in neighbours.nearest_to_each(rows.repartition(3), rows.where("imageid in ('0', '5', '41', '42')"), measure, 4, block).collect()}
+            for q in (0, 5, 41, 42):
+                want = sorted((v, str(i)) for i, v in enumerate(d[q]) if i != q and not np.isnan(v))[:4]
+                assert [got[str(q), k + 1][0] for k in range(len(want))] == [i for _, i in want] or np.allclose([got[str(q), k + 1][1] * more for k in range(len(want))], [v for v, _ in want], atol=1e-12)
+    one = {r["imageid"]: r["score"] for r in neighbours.nearest(rows, rows.where("imageid = '5'"), "euclidean", 4).collect()}
+    each = {r["imageid"]: r["score"] for r in neighbours.nearest_to_each(rows, rows.where("imageid = '5'"), "euclidean", 4).collect()}
+    assert one.keys() == each.keys() and all(np.isclose(one[i], each[i]) for i in one)

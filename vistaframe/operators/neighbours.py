@@ -1,20 +1,27 @@
 """Nearest vectors.
 
 A single query is one broadcast row. A set of queries is dealt out in blocks of
-bounded size, each broadcast against all rows; a block's candidates are cut to
-the best k within each partition (WindowGroupLimit) before they are shuffled.
+bounded size; a task compares Arrow batches with a block as matrices and passes
+on the best k it has seen for each query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import vectors as V
+from ..shipping import map_batches
+from .linear import matrix_of
 
-BLOCK = 1024
+#: Queries in a block, and elements of a block of differences.
+BLOCK, CELLS = 1024, 1 << 21
 
 
 def with_norm(rows: DataFrame, vec: str = "vec") -> DataFrame:
@@ -48,24 +55,65 @@ def nearest(rows: DataFrame, query: DataFrame, measure: str = "cosine", k: int =
     return ranked.orderBy(F.col("score").desc() if more else F.col("score").asc(), "imageid").limit(k)
 
 
-def nearest_to_each(rows: DataFrame, queries: DataFrame, measure: str = "cosine", k: int = 5, block: int = BLOCK, n_queries: int | None = None) -> DataFrame:
-    """(q_id, rank, imageid, score): the k nearest rows of every query row, itself left out.
+def distances(x: np.ndarray, q: np.ndarray, measure: str) -> np.ndarray:
+    """Scores of all rows of ``x`` (first axis) against all of ``q``; NaN where there is none."""
+    if measure.startswith("cosine"):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s = (x @ q.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None])
+        return s if measure == "cosine_similarity" else 1 - s
+    if measure == "l2":
+        x, q = (m.astype(np.float32).astype(float) for m in (x, q))
+    out = np.empty((len(x), len(q)))
+    step = max(1, CELLS // max(1, q.size))
+    for at in range(0, len(x), step):  # differences, not products: equal vectors are at exactly 0
+        d = x[at : at + step, None] - q[None]
+        out[at : at + step] = np.abs(d).sum(2) if measure == "manhattan" else np.sqrt((d * d).sum(2))
+    return out
+
+
+def _best(ids: list, scores: np.ndarray, k: int) -> list[tuple]:
+    """The k least (score, id); rows without a score are left out."""
+    known = np.flatnonzero(~np.isnan(scores))
+    if len(known) > k:
+        known = known[scores[known] <= np.partition(scores[known], k - 1)[k - 1]]
+    return sorted((float(scores[i]), ids[i]) for i in known)[:k]
+
 
-    ``block`` bounds what is broadcast at once.
+def nearest_to_each(rows: DataFrame, queries: DataFrame, measure: str = "cosine", k: int = 5, block: int = BLOCK) -> DataFrame:
+    """(q_id, rank, imageid, score): the k rows nearest to every query row, itself left out.
+
+    Queries go out in blocks of about ``block`` rows, one pass over the rows each;
+    a task compares Arrow batches with the block as matrices and gives out its
+    best k for each query, so what is shuffled is k rows a query and task.
     """
-    n = queries.count() if n_queries is None else n_queries
-    q = with_norm(queries).select(F.col("imageid").alias("q_id"), F.col("vec").alias("q_vec"), F.col("norm").alias("q_norm"))
-    score, more = _measure(measure)
-    order = [F.col("score").desc() if more else F.col("score").asc(), F.col("imageid")]
-    best, out = Window.partitionBy("q_id").orderBy(*order), None
-    blocks = max(1, -(-n // block))
-    with_norms = with_norm(rows)
+    more = _measure(measure)[1]
+    blocks = max(1, -(-queries.count() // block))
+    kind = rows.schema["imageid"].dataType
+    schema = T.StructType([T.StructField("q_id", queries.schema["imageid"].dataType), T.StructField("imageid", kind), T.StructField("score", T.DoubleType())])
+    plain = rows.select("imageid", V.doubles(F.col("vec")).alias("vec"))
+    out = None
     for b in range(blocks):
-        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
-        met = with_norms.join(F.broadcast(own), F.col("imageid") != F.col("q_id")).select("q_id", "imageid", score().alias("score")).where(F.col("score").isNotNull())
-        top = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q_id", "rank", "imageid", "score")
-        out = top if out is None else out.unionByName(top)
-    return out
+        own = queries.where(F.pmod(F.xxhash64("imageid"), F.lit(blocks)) == b).select("imageid", V.doubles(F.col("vec"))).collect()
+        for size in sorted({len(v) for _, v in own if v}) or [0]:
+            q_ids, q = [i for i, v in own if v and len(v) == size], np.array([v for _, v in own if v and len(v) == size], float)
+
+            def kernel(batches: Iterator[pa.RecordBatch], q_ids: list = q_ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+                best: list[list[tuple]] = [[] for _ in q_ids]
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    ids, s = batch.column(0).to_pylist(), distances(matrix_of(batch.column(1)), q, measure)
+                    s = -s if more else s
+                    for j, q_id in enumerate(q_ids):
+                        found = [x for x in _best(ids, s[:, j], k + 1) if x[1] != q_id]
+                        best[j] = sorted(best[j] + found)[:k]
+                lines = [(q_id, i, -s if more else s) for q_id, own in zip(q_ids, best, strict=True) for s, i in own]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in lines], to_arrow_schema(schema))
+
+            part = map_batches(plain.where(F.size("vec") == size), kernel, schema)
+            out = part if out is None else out.unionByName(part)
+    order = Window.partitionBy("q_id").orderBy(F.col("score").desc() if more else F.col("score").asc(), "imageid")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "rank", "imageid", "score")
 
 
 def with_query_first(found: DataFrame, query_id, score: float = 0.0) -> DataFrame:
