@@ -21,6 +21,12 @@ PAGES = {
     "article header": (f"<body><header>Site</header><article><header><h1>T</h1></header><p>Body text.</p><footer>Tags</footer></article></body>", "T\nBody text."),
     "less than": ("<body><article><p>1 < 2 and 3 > 2 &lt;b&gt;</p></article></body>", "1 < 2 and 3 > 2 <b>"),
     "broken entity": ("<body><article><p>fish &am chips &amp chips &nosuch;</p></article></body>", "fish &am chips & chips &nosuch;"),
+    "has sidebar": (f"<body class='x'><div class='layout has-sidebar'><article>{ARTICLE}</article><div class='pageSidebar'><p>Beside it all.</p></div></div></body>", WANT),
+    "comments without a class": (f"<body><article>{ARTICLE}</article><div class='user-comments'><article><p>What a fine text this is, I say, and I read many.</p></article></div></body>", WANT),
+    "compound marks": (f"<body><div id='cookieBar'>Cookies!</div><ins class='adsbygoogle'>Buy</ins><main>{ARTICLE}<div class='share-buttons'>Tweet</div></main><div class='siteFooter'>end of site</div></body>", WANT),
+    "roles": (f"<body><div role='navigation'>Go</div><div role='banner'>Site</div><article>{ARTICLE}</article><div role='contentinfo'>end</div></body>", WANT),
+    "list and table": ("<body><article><h1>T</h1><ul><li>One</li><li>Two</li></ul><table><tr><td>a</td><td>b</td></tr></table></article></body>", "T\nOne\nTwo\na\nb"),
+    "nested article in unclosed notice": (f"<body><div class='notice'>Old browser<article>{ARTICLE}</article></body>", WANT),
     "nothing": ("<html><body></body></html>", ""),
     "menus only": (f"<body>{NAV}<footer>end</footer></body>", ""),
     "bare text": ("just some words", "just some words"),

@@ -49,29 +49,49 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WALLS = frozenset("article main nav aside footer header form section div table ul ol body".split())
 #: Words of class and id values that mark what is not the main text.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored banner promo promotion promoted cookie cookies consent gdpr notice notices notification notifications "
-    "alert alerts sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead header footer foot copyright comment comments disqus reply replies respond "
-    "share sharing social related recommended recommendations newsletter subscribe subscription signup login popup popups modal overlay widget widgets toolbar pagination pager hidden".split()
+    "ad ads adv adslot adbox adunit sponsored banner promo promotion promoted consent gdpr notice notices notification notifications alert alerts rail menu menus nav navigation topbar "
+    "header foot copyright comment reply replies respond share sharing social related recommended recommendations subscribe subscription signup login modal overlay toolbar pagination pager hidden".split()
 )
+#: The same, also as parts of a longer word.
+PARTS = ("advert", "adsby", "adsense", "sponsor", "cookie", "sidebar", "navbar", "sidenav", "subnav", "topnav", "breadcrumb", "footer", "masthead", "siteheader", "pageheader", "comments", "disqus", "newsletter", "popup")
+#: Of these, marks of other people's texts: an article within is none of the page's.
+FOREIGN = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
+#: A mark after one of these says what a page has, not what an element is.
+ABOUT = frozenset("has with no without hide show".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 STORY = frozenset("article entry post story".split())
 CAP, LEAST_WORD, LEAST_TAG = 4.0, 0.5, -0.05
 
 
-def _excluded(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes say that it is not the main text."""
+def _marks(value: str) -> set[str]:
+    words = [w for w in re.split(r"[^a-z]+", value) if w]
+    found = set()
+    for before, word in zip(["", *words], words, strict=False):
+        if before not in ABOUT:
+            if word in MARKS:
+                found.add(word)
+            found.update(p for p in PARTS if p in word)
+    return found
+
+
+def _excluded(tag: str, attributes: str) -> int:
+    """Whether an element's attributes say that it is not the main text: 0 no, 1 yes,
+    2 not even an article within it."""
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            marks = set(re.split(r"[^a-z]+", re.sub(r"\d", "", value)))
-            found = marks & MARKS
-            if found and not (marks & STORY and found <= {"header"}) and not (tag in MAIN and not found & {"comment", "comments", "reply", "related", "recommended", "promo", "promoted", "ad", "sponsored"}):
-                return True
+            found = _marks(value)
+            if found & FOREIGN:
+                return 2
+            if tag in MAIN:
+                found &= {"ad", "promo", "promoted", "sponsored", "sponsor", "advert"}
+            if found and not (found <= {"header"} and STORY & set(re.split(r"[^a-z]+", value))):
+                return 1
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return 1
+    return 0
 
 
 class Piece:
@@ -88,14 +108,14 @@ def parse(page: str) -> list[Piece | str]:
     """Pieces of text and tag kinds, in page order."""
     has_main = bool(re.search(r"<(?:article|main)[\s>/]", page, re.I))
     items: list[Piece | str] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # tag, excluded, in main, in link
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, excluded, in main, in link
     block, at, size = 0, 0, len(page)
 
     def text(upto: int) -> None:
         if upto > at:
             _, out, main, link = stack[-1]
             kind = "out" if out else "main" if main else "beside" if has_main else "link" if link else "flow"
-            items.append(Piece(html.unescape(page[at:upto]), block, kind, out))
+            items.append(Piece(html.unescape(page[at:upto]), block, kind, out > 0))
 
     def close(tag: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -135,11 +155,12 @@ def parse(page: str) -> list[Piece | str]:
                 stack.pop()
         _, out, main, link = stack[-1]
         if tag == "body":
-            out = False
-        if tag in MAIN and out and not any(x[0] in EXCLUDED or x[0] in ("section",) for x in stack if x[1]):
-            out = False  # an unclosed advert, say, does not swallow the article
-        if tag in EXCLUDED and not (tag == "header" and main) or _excluded(tag, m[3]):
-            out = True
+            out = 0
+        if tag in MAIN and out == 1:
+            out = 0  # an unclosed advert, say, does not swallow the article
+        if tag in EXCLUDED and not (tag == "header" and main):
+            out = max(out, 1 if tag == "header" else 2)
+        out = max(out, _excluded(tag, m[3]))
         if tag not in VOID:
             stack.append((tag, out, main or tag in MAIN, link or tag == "a"))
         items.append("out" if out else tag if tag in ("a", "li", "p", "br") or tag in HEADINGS else "block" if tag in BLOCK else "inline")
