@@ -64,7 +64,8 @@ def propagate(cells: DataFrame, total: int, shards: int = SHARDS, rounds: int =
             load[label] = n
         free = [x < most - 1 for x in load]
         votes = state.groupBy("key", "label").agg(F.sum("n").alias("votes")).select(F.col("key").alias("k"), F.col("label").alias("target"), "votes")
-        liking = F.struct("votes", _share(F.col("k"), F.col("target")).alias("tie"), "target")
+        # of equally liked shards one with room comes first, else cells in a full one would wait for the rest
+        liking = F.struct("votes", _of(free, F.col("target"), "boolean").alias("free"), _share(F.col("k"), F.col("target")).alias("tie"), "target")
         seen = state.join(votes, state["key"] == votes["k"]).where((F.col("target") == F.col("label")) | _of(free, F.col("target"), "boolean"))
         wish = seen.groupBy("key", "init", "label", "n").agg(F.max(liking)["target"].alias("wish"), F.sum("votes").alias("all"))
         wish = materialize(wish.select("key", "init", "label", "n", "wish", "all"), "wishes")
