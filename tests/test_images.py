@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vistaframe.operators import extractors, histograms, moments
+from vistaframe.operators import extractors, histograms, keypoints, moments
 from vistaframe.plans import tasks
 from vistaframe.session import EngineConfig
 from vistaframe.sources import images
@@ -79,8 +79,13 @@ def test_ingest_is_an_upsert(spark, folder, tmp_path):
     assert {r["imageid"]: r["vec"] for r in store.load("m").collect()} == before and len(before) == 3
     found = tasks.similar_images(store.load("m"), "ramp", k=2).collect()
     assert len(found) == 2 and found[0]["score"] <= found[1]["score"] and "ramp" not in {r["imageid"] for r in found}
+    tasks.ingest(spark, config, ("s",))
+    bags = store.load_descriptors()
+    n = bags.count()
+    tasks.ingest(spark, config, ("s",))
+    assert store.load_descriptors().count() == n
     with pytest.raises(ValueError):
-        tasks.extract(images.read_images(spark, folder, "*.png"), "s")
+        tasks.extract(images.read_images(spark, folder, "*.png"), "x")
 
 
 def test_block_means_fill_edges_with_zero(spark):
@@ -94,3 +99,30 @@ def test_dataset_histograms(spark):
     assert len(out) == 30 and {n: sum(r["n"] for r in out if r["name"] == n) for n in ("mean", "sd", "skew")} == {"mean": 6, "sd": 6, "skew": 6}
     one = spark.createDataFrame([(4.0,)] * 3, "x double")
     assert [r["n"] for r in histograms.range_histogram(one, ["x"]).orderBy("bin").collect()] == [0, 0, 0, 0, 0, 3, 0, 0, 0, 0]
+
+
+def blobs(shift=(0, 0), turn=False):
+    rng = np.random.default_rng(4)
+    r, c = np.indices((120, 140))
+    x = np.zeros((120, 140))
+    for _ in range(14):
+        y0, x0, s, a = rng.uniform(25, 90), rng.uniform(25, 110), rng.uniform(2, 6), rng.uniform(80, 200) * rng.choice([-1, 1])
+        x += a * np.exp(-((r - y0 - shift[0]) ** 2 / (2 * s**2) + (c - x0 - shift[1]) ** 2 / (2 * (1.4 * s) ** 2)))
+    x = np.clip(x + 128, 0, 255).astype(np.uint8)
+    return np.rot90(x).copy() if turn else x
+
+
+def matched(a, b, ratio=0.8):
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    d.sort(axis=1)
+    return (d[:, 0] < ratio * d[:, 1]).mean(), np.median(d[:, 0])
+
+
+def test_keypoints_survive_shifts_and_turns():
+    a, b, c = (np.array(keypoints.describe(x)) for x in (blobs(), blobs((4, 6)), blobs(turn=True)))
+    assert a.shape[1] == 128 and len(a) >= 10 and a.min() >= 0 and a.max() <= 255
+    other = np.array(keypoints.describe(np.random.default_rng(0).integers(0, 255, (120, 140)).astype(np.uint8)))
+    assert matched(a, b)[0] > 0.8 and matched(a, c)[0] > 0.7
+    assert matched(a, b)[1] < matched(a, other)[1] / 2 and matched(a, c)[1] < matched(a, other)[1] / 2
+    assert keypoints.describe(np.full((60, 60), 100, np.uint8)) == []
+    assert keypoints.describe(np.zeros((3, 5), np.uint8)) == []

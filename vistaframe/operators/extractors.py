@@ -2,8 +2,7 @@
 
 ``textures`` gives uniform local binary patterns (24 points on a circle of
 radius 3) as normalised 26-bin histograms of tiles; ``gradients`` gives
-histograms of oriented gradients of the image shrunk by ten. Keypoint
-descriptors are input tables (``descriptors``); none are detected here.
+histograms of oriented gradients of the image shrunk by ten.
 """
 
 from __future__ import annotations

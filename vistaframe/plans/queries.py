@@ -17,6 +17,7 @@ from ..functions import vectors as V
 from ..functions.pixels import gray, yuv
 from ..operators import codebook, factor, histograms, linear, moments, neighbours, oneclass, ranking, subjects
 from ..operators.extractors import gradients, textures
+from ..operators.keypoints import keypoints
 from ..operators.matching import ratio_similarity
 from ..sources import metadata
 from ..sources.features import upserted
@@ -533,3 +534,8 @@ def image_lbp(spark, sf_dir):
 @query()
 def image_hog(spark, sf_dir):
     return gradients(synthetic_images(spark)).select("imageid", F.posexplode("vec").alias("pos", "value"))
+
+
+@query()
+def image_keypoints(spark, sf_dir):
+    return keypoints(synthetic_images(spark)).select("imageid", "pos", F.posexplode("vec").alias("at", "value"))

@@ -11,28 +11,30 @@ from ..functions import vectors as V
 from ..functions.text import label_key
 from ..operators import codebook, factor, histograms, neighbours, oneclass, ranking, subjects
 from ..operators.extractors import gradients, textures
+from ..operators.keypoints import keypoints
 from ..operators.matching import ratio_similarity
 from ..operators.moments import colour_moments
 from ..session import EngineConfig
 from ..sources import metadata
-from ..sources.features import FeatureStore, check
+from ..sources.features import MODELS, FeatureStore, check
 from ..sources.images import pixels, read_images
 from ..sources.reports import score_line, write_lines
 
 
 def extract(images: DataFrame, model: str) -> DataFrame:
-    """(imageid, vec) of one feature model; keypoint descriptors are input tables."""
+    """(imageid, vec) of one feature model; of model ``s``, (imageid, pos, vec)."""
     check(model)
-    if model == "s":
-        raise ValueError("keypoint descriptors are not detected here; load a table of them")
-    return {"m": lambda: colour_moments(pixels(images)), "h": lambda: gradients(images), "l": lambda: textures(images)}[model]()
+    return {"m": lambda: colour_moments(pixels(images)), "s": lambda: keypoints(images), "h": lambda: gradients(images), "l": lambda: textures(images)}[model]()
 
 
-def ingest(spark: SparkSession, config: EngineConfig, models: tuple[str, ...] = ("m", "h", "l")) -> None:
+def ingest(spark: SparkSession, config: EngineConfig, models: tuple[str, ...] = MODELS) -> None:
     """Extract and upsert features of an image directory."""
     images, store = read_images(spark, config.image_dir, config.image_glob), FeatureStore(spark, config.store)
     for model in models:
-        store.upsert(extract(images, model), model)
+        if model == "s":
+            store.upsert_descriptors(extract(images, model))
+        else:
+            store.upsert(extract(images, model), model)
 
 
 def load_metadata(spark: SparkSession, config: EngineConfig, path: str) -> None:

@@ -21,6 +21,7 @@ MODELS = ("m", "s", "h", "l")
 TECHNIQUES = ("pca", "svd", "nmf", "lda")
 NONE = "-"
 SCHEMA = "imageid string, vec array<double>"
+BAG_SCHEMA = "imageid string, pos int, vec array<double>"
 
 
 def check(model: str, technique: str | None = None) -> None:
@@ -55,18 +56,14 @@ class FeatureStore:
         found = self._pointers(folder)
         return f"{folder}/{self.spark.read.text(f'{folder}/{found[-1]}').first()[0]}" if found else None
 
-    def load(self, model: str, technique: str | None = None, label: str | None = None) -> DataFrame:
-        """(imageid, vec); no rows if nothing was stored."""
-        at = self._current(self._folder(model, technique, label))
-        read = self.spark.read.schema(SCHEMA)
-        return read.parquet(at) if at else self.spark.createDataFrame([], SCHEMA)
+    def _read(self, folder: str, schema: str) -> DataFrame:
+        at = self._current(folder)
+        return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
 
-    def upsert(self, rows: DataFrame, model: str, technique: str | None = None, label: str | None = None) -> None:
-        """Insert or replace by imageid; of rows with one imageid the least vector stays."""
-        folder = self._folder(model, technique, label)
-        new = rows.select(F.col("imageid").cast("string"), F.col("vec").cast("array<double>")).groupBy("imageid").agg(F.min("vec").alias("vec"))
+    def _switch(self, folder: str, rows: DataFrame) -> None:
+        """Write a new version and make it the current one."""
         version, number = f"v-{uuid.uuid4().hex}", len(self._pointers(folder))
-        upserted(self.load(model, technique, label), new).write.parquet(f"{folder}/{version}")
+        rows.write.parquet(f"{folder}/{version}")
         aside, files = file_system(self.spark, f"{folder}/.{version}")
         out = files.create(aside, True)
         out.write(bytearray(version.encode()))
@@ -75,6 +72,25 @@ class FeatureStore:
         if files.exists(target) or not files.rename(aside, target):
             raise RuntimeError(f"another writer has changed {folder}; upsert again")
 
+    def load(self, model: str, technique: str | None = None, label: str | None = None) -> DataFrame:
+        """(imageid, vec); no rows if nothing was stored."""
+        return self._read(self._folder(model, technique, label), SCHEMA)
+
+    def upsert(self, rows: DataFrame, model: str, technique: str | None = None, label: str | None = None) -> None:
+        """Insert or replace by imageid; of rows with one imageid the least vector stays."""
+        new = rows.select(F.col("imageid").cast("string"), F.col("vec").cast("array<double>")).groupBy("imageid").agg(F.min("vec").alias("vec"))
+        self._switch(self._folder(model, technique, label), upserted(self.load(model, technique, label), new))
+
+    def load_descriptors(self) -> DataFrame:
+        """(imageid, pos, vec) of the descriptor bags, model ``s``."""
+        return self._read(f"{self._folder('s', None, None)}/bags", BAG_SCHEMA)
+
+    def upsert_descriptors(self, rows: DataFrame) -> None:
+        """Insert or replace whole bags by imageid."""
+        new = rows.select(F.col("imageid").cast("string"), F.col("pos").cast("int"), F.col("vec").cast("array<double>"))
+        old = self.load_descriptors().join(new.select("imageid").distinct(), "imageid", "left_anti")
+        self._switch(f"{self._folder('s', None, None)}/bags", new.unionByName(old))
+
     def lookup(self, imageid: str, model: str, technique: str | None = None, label: str | None = None) -> DataFrame:
         return self.load(model, technique, label).where(F.col("imageid") == imageid)
 
