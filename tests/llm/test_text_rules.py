@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from vistaframe.llm.decontam import decontaminate, find_hits, words_hit
+from vistaframe.llm.decontam import decontaminate, find_hits, remove_spans, words_hit
 from vistaframe.llm.quality_lines import judge
 from vistaframe.llm.secret_rules import ALL, RULES, trigram_query
 from vistaframe.llm.secrets import redact_secrets, scan_secrets, spans_text
@@ -73,3 +73,17 @@ def test_contaminated_documents_go(docs_of, spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4]
     shuffled = find_hits(docs, bench, max_broadcast_mb=0)
     assert {r["doc_id"]: r["hits"] for r in shuffled.collect()} == {k: v["hits"] for k, v in found.items()}
+
+
+def test_spans_are_cut_and_heavy_documents_go(docs_of, spark):
+    passage = " ".join(f"T{i}," for i in range(12))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    filler = " ".join(f"w{i}" for i in range(60))
+    texts = [f"({filler}! {passage} The end.", f"a {passage} b", None, "", "Plain (text)!", f"{passage} {filler}"]
+    docs = docs_of([*enumerate(texts), (0, "other text of the same id")]).withColumn("hits", F.lit(1))
+    out = remove_spans(docs, bench)
+    rows = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.where("text is not null").collect())
+    assert out.columns == docs.columns and out.where("text is null").count() == 1
+    cut = f"({filler}! The end."
+    assert rows == [(0, cut, len(cut)), (0, "other text of the same id", 25), (3, "", 0), (4, "Plain (text)!", 13), (5, filler, len(filler))]
+    assert find_hits(out, bench).where("size(hits) > 0").count() == 0

@@ -29,6 +29,8 @@ WINDOW, FIRST = 10, 4
 #: Bits of the bitmap for each window, and its least and greatest size in 64-bit words.
 BITS_PER_WINDOW, LEAST_LONGS, MOST_LONGS = 64, 1 << 6, 1 << 16
 MAX_BROADCAST_MB = 64
+#: Runs between words, in a text whose letters keep their case; the share of a document's words that may be cut.
+SEPARATOR, MAX_SHARE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 0.2
 
 
 def bench_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -106,6 +108,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
 
 
+def without_words(text: Column, hits: Column) -> Column:
+    """The text without the words inside hits and what follows each up to the next word."""
+    parts = F.split(text, SEPARATOR, -1)
+    gaps = F.regexp_extract_all(text, F.lit(SEPARATOR), F.lit(0))
+
+    def rebuilt(words: Column, gap: Column, lead: Column) -> Column:
+        def piece(i: Column) -> Column:
+            gone = F.exists(hits, lambda h: (h["start"] <= i) & (i < h["start"] + h["length"]))
+            return F.when(gone, "").otherwise(F.concat(F.get(words, i), F.coalesce(F.get(gap, i + lead), F.lit(""))))
+
+        return F.concat(F.when(lead == 1, F.get(gap, F.lit(0))).otherwise(""), F.array_join(F.transform(indices(F.size(words)), piece), ""))
+
+    lead = F.when(text.rlike(f"^{SEPARATOR}"), 1).otherwise(0)
+    return let(F.array_remove(parts, ""), lambda w: let(gaps, lambda g: rebuilt(w, g, lead)))
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = MAX_SHARE) -> DataFrame:
+    """The documents, all their columns, without the words of benchmark windows; those
+    with more than ``max_share`` of their words in windows go. n_chars, if there, follows."""
+    digest = F.xxhash64("text")
+    found = find_hits(docs.select("doc_id", "text", digest.alias("__digest")), benchmark, window, ("doc_id", "__digest")).where(F.size("hits") > 0)
+    found = found.groupBy(F.col("doc_id").alias("__of"), F.col("__digest").alias("__at")).agg(F.first("n_words").alias("__n"), F.first("hits").alias("__hits"))
+    met = docs.join(found, docs["doc_id"].eqNullSafe(found["__of"]) & (F.xxhash64(docs["text"]) == found["__at"]), "left")
+    kept = met.where(F.col("__hits").isNull() | (words_hit(F.col("__hits")) <= max_share * F.col("__n")))
+    cut = kept.withColumn("__cut", F.when(F.col("__hits").isNull(), F.col("text")).otherwise(without_words(F.col("text"), F.col("__hits"))))
+    new = {"text": F.col("__cut")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__hits").isNull(), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*(new.get(c, column(c)).alias(c) for c in docs.columns))
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -76,40 +76,52 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate:
     """
     if len(set(labels)) < 2:
         return Model({}, {}, -np.inf)
-    of: dict[str, list[str]] = {}
-    spread: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    for text, label in zip(texts, labels, strict=True):
-        own = set(tokens_of(text))
-        for t in own - of.keys():
-            of[t] = features_of(t)
-        spread[label].update({f for t in own for f in of[t]})
+    tokens = [tokens_of(t) for t in texts]
+    y = np.array(labels, float)
     # a weight at or above zero needs a feature that toxic documents have more often
-    lift = LEAST_LIFT * sum(labels) / (len(labels) - sum(labels))
-    known = {f: k for k, f in enumerate(sorted(f for f, n in spread[1].items() if n >= LEAST_DOCS and n >= lift * spread[0][f]))}
-    slots = {t: np.array([known[f] for f in fs if f in known], np.int32) for t, fs in of.items()}
-    del of, spread
-    x, s, doc = [np.empty(0, np.int32)], [np.empty(0, np.int32)], []
-    n = 0
-    for d, text in enumerate(texts):
-        fresh = True
-        for t in tokens_of(text):
-            if fresh:
-                doc.append(d)
-                n, fresh = n + 1, False
-            if len(slots[t]):
-                x.append(slots[t])
-                s.append(np.full(len(slots[t]), n - 1, np.int32))
-            fresh = bool(STOP.search(t))
-    x, s, doc, y = np.concatenate(x), np.concatenate(s), np.array(doc, int), np.array(labels, float)
+    lift = LEAST_LIFT * y.sum() / (len(y) - y.sum())
+    often: Counter[str] = Counter()
+    for own, label in zip(tokens, labels, strict=True):
+        if label:
+            often.update({f for t in set(own) for f in features_of(t)})
+    often = Counter({f: n for f, n in often.items() if n >= LEAST_DOCS})
+    of: dict[str, list[str]] = {}
+    for own in tokens:
+        for t in set(own) - of.keys():
+            of[t] = [f for f in features_of(t) if f in often]
+    seldom: Counter[str] = Counter()
+    for own, label in zip(tokens, labels, strict=True):
+        if not label:
+            seldom.update({f for t in set(own) for f in of[t]})
+    known = {f: k for k, f in enumerate(sorted(f for f, n in often.items() if n >= lift * seldom[f]))}
+    slots = {t: [known[f] for f in fs if f in known] for t, fs in of.items()}
+    stops = {t for t in of if STOP.search(t)}
+    # sentences without a feature are alike: each document counts its own
+    x, s, doc, plain = [], [], [], np.zeros(len(y))
+    for d, own in enumerate(tokens):
+        now, any_token = [], False
+        for t in [*own, None]:
+            if t is not None:
+                any_token = True
+                now += slots[t]
+            if any_token and (t is None or t in stops):
+                if now:
+                    x += now
+                    s += [len(doc)] * len(now)
+                    doc.append(d)
+                else:
+                    plain[d] += 1
+                now, any_token = [], False
+    x, s, doc, n = np.array(x, int), np.array(s, int), np.array(doc, int), len(doc)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels weigh alike
     w, b, seen_w, seen_b = np.zeros(len(known)), BIAS, np.full(len(known), 1e-8), 1e-8
     for _ in range(rounds):
         z = b + np.bincount(s, w[x], n)
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        none = np.exp(-np.bincount(doc, np.logaddexp(0, z), len(y)))
+        p, p_plain = (1 / (1 + np.exp(-np.clip(v, -40, 40))) for v in (z, np.float64(b)))
+        none = np.exp(-np.bincount(doc, np.logaddexp(0, z), len(y)) - plain * np.logaddexp(0, b))
         pull = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * share
         g = pull[doc] * p
-        gw, gb = np.bincount(x, g[s], len(known)) + penalty, g.sum()
+        gw, gb = np.bincount(x, g[s], len(known)) + penalty, g.sum() + (pull * plain).sum() * p_plain
         seen_w += gw**2
         seen_b += gb**2
         w = np.maximum(0, w - rate * gw / np.sqrt(seen_w))
@@ -218,5 +230,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")), locate=True)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
