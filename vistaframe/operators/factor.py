@@ -107,7 +107,7 @@ def nmf(rows: DataFrame, k: int, key: str = "imageid", rounds: int = 30, steps:
     for _ in range(rounds):
         ww, wx = sums(h)
         losses.append(square - 2 * float((wx * h).sum()) + float((ww * (h @ h.T)).sum()))
-        if len(losses) > 1 and losses[-2] - losses[-1] < 1e-6 * max(square, 1e-12):
+        if len(losses) > 1 and losses[-2] - losses[-1] < 1e-5 * max(square, 1e-12):
             break
         for _ in range(10):
             h = h * wx / np.maximum(ww @ h, 1e-12)

@@ -51,8 +51,9 @@ def nearest(rows: DataFrame, query: DataFrame, measure: str = "cosine", k: int =
     met = with_norm(rows).crossJoin(F.broadcast(q))
     if not include_query:
         met = met.where(F.col("imageid") != F.col("q_id"))
-    ranked = met.select("imageid", score().alias("score")).where(F.col("score").isNotNull())
-    return ranked.orderBy(F.col("score").desc() if more else F.col("score").asc(), "imageid").limit(k)
+    # nulls last, and dropped after the cut: a filter before it would compute each score again
+    order = F.col("score").desc_nulls_last() if more else F.col("score").asc_nulls_last()
+    return met.select("imageid", score().alias("score")).orderBy(order, "imageid").limit(k).where(F.col("score").isNotNull())
 
 
 def distances(x: np.ndarray, q: np.ndarray, measure: str) -> np.ndarray:
@@ -87,33 +88,66 @@ def nearest_to_each(rows: DataFrame, queries: DataFrame, measure: str = "cosine"
     best k for each query, so what is shuffled is k rows a query and task.
     """
     more = _measure(measure)[1]
+
+    def kernel_of(q_ids: list, q: np.ndarray):
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[list[tuple]] = [[] for _ in q_ids]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, s = batch.column(0).to_pylist(), distances(matrix_of(batch.column(1)), q, measure)
+                s = -s if more else s
+                for j, q_id in enumerate(q_ids):
+                    found = [x for x in _best(ids, s[:, j], k + 1) if x[1] != q_id]
+                    best[j] = sorted(best[j] + found)[:k]
+            lines = [(q_id, i, -s if more else s) for q_id, own in zip(q_ids, best, strict=True) for s, i in own]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in lines], to_arrow_schema(schema))
+
+        return kernel
+
+    schema = _pair_schema(rows, queries)
+    out = _by_block(rows, queries, kernel_of, schema, block)
+    order = Window.partitionBy("q_id").orderBy(F.col("score").desc() if more else F.col("score").asc(), "imageid")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "rank", "imageid", "score")
+
+
+def all_scores(rows: DataFrame, queries: DataFrame, measure: str, block: int = BLOCK) -> DataFrame:
+    """(q_id, imageid, score) for every query row and every row: for matrices, whose
+    size is that product by definition."""
+
+    def kernel_of(q_ids: list, q: np.ndarray):
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                s = distances(matrix_of(batch.column(1)), q, measure)
+                ids = batch.column(0)
+                for j, q_id in enumerate(q_ids):
+                    yield pa.RecordBatch.from_arrays([pa.array([q_id] * len(ids), arrow.field(0).type), ids, pa.array(s[:, j])], arrow.names)
+
+        return kernel
+
+    schema = _pair_schema(rows, queries)
+    arrow = to_arrow_schema(schema)
+    return _by_block(rows, queries, kernel_of, schema, block)
+
+
+def _pair_schema(rows: DataFrame, queries: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("q_id", queries.schema["imageid"].dataType), T.StructField("imageid", rows.schema["imageid"].dataType), T.StructField("score", T.DoubleType())])
+
+
+def _by_block(rows: DataFrame, queries: DataFrame, kernel_of, schema: T.StructType, block: int) -> DataFrame:
+    """The rows through a kernel for each block of queries (and each length of vectors in it)."""
     blocks = max(1, -(-queries.count() // block))
-    kind = rows.schema["imageid"].dataType
-    schema = T.StructType([T.StructField("q_id", queries.schema["imageid"].dataType), T.StructField("imageid", kind), T.StructField("score", T.DoubleType())])
     plain = rows.select("imageid", V.doubles(F.col("vec")).alias("vec"))
     out = None
     for b in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("imageid"), F.lit(blocks)) == b).select("imageid", V.doubles(F.col("vec"))).collect()
         for size in sorted({len(v) for _, v in own if v}) or [0]:
             q_ids, q = [i for i, v in own if v and len(v) == size], np.array([v for _, v in own if v and len(v) == size], float)
-
-            def kernel(batches: Iterator[pa.RecordBatch], q_ids: list = q_ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-                best: list[list[tuple]] = [[] for _ in q_ids]
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    ids, s = batch.column(0).to_pylist(), distances(matrix_of(batch.column(1)), q, measure)
-                    s = -s if more else s
-                    for j, q_id in enumerate(q_ids):
-                        found = [x for x in _best(ids, s[:, j], k + 1) if x[1] != q_id]
-                        best[j] = sorted(best[j] + found)[:k]
-                lines = [(q_id, i, -s if more else s) for q_id, own in zip(q_ids, best, strict=True) for s, i in own]
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in lines], to_arrow_schema(schema))
-
-            part = map_batches(plain.where(F.size("vec") == size), kernel, schema)
+            part = map_batches(plain.where(F.size("vec") == size), kernel_of(q_ids, q), schema)
             out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy("q_id").orderBy(F.col("score").desc() if more else F.col("score").asc(), "imageid")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "rank", "imageid", "score")
+    return out
 
 
 def with_query_first(found: DataFrame, query_id, score: float = 0.0) -> DataFrame:

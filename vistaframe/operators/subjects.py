@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..storage import written
+from . import neighbours
 
 
 def collected(rows: DataFrame, meta: DataFrame) -> DataFrame:
@@ -25,19 +27,20 @@ def centroids(rows: DataFrame, by: str = "subjectid", vec: str = "vec") -> DataF
     return parts.select(by, F.transform("p", lambda x: x["value"]).alias("vec"))
 
 
-def similarity_matrix(means: DataFrame, by: str = "subjectid") -> DataFrame:
-    """(a, b, sim) for all ordered pairs of subjects, themselves included.
+def _means(means: DataFrame, by: str) -> DataFrame:
+    """Computed once: both sides of a comparison read it."""
+    return written(means.select(F.col(by).alias("imageid"), "vec"), "means")
+
 
-    Each unordered pair is computed once and given out in both orders.
-    """
-    a = means.select(F.col(by).alias("a"), F.col("vec").alias("va"))
-    b = means.select(F.col(by).alias("b"), F.col("vec").alias("vb"))
-    half = a.join(b, F.col("a") <= F.col("b")).select("a", "b", V.closeness(V.l2_float(F.col("va"), F.col("vb"))).alias("sim"))
-    turned = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    return half.select(F.inline(turned), "sim")
+def similarity_matrix(means: DataFrame, by: str = "subjectid") -> DataFrame:
+    """(a, b, sim) for all ordered pairs of subjects, themselves included."""
+    rows = _means(means, by)
+    return neighbours.all_scores(rows, rows, "l2").select(F.col("q_id").alias("a"), F.col("imageid").alias("b"), V.closeness(F.col("score")).alias("sim"))
 
 
-def most_similar(matrix: DataFrame, k: int = 3) -> DataFrame:
-    """(a, rank, b, sim): the k subjects most similar to each, itself left out."""
-    order = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-    return matrix.where("a <> b").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a", "rank", "b", "sim")
+def most_similar(means: DataFrame, k: int = 3, by: str = "subjectid") -> DataFrame:
+    """(a, rank, b, sim): the k subjects most similar to each, itself left out. The
+    matrix is never made: subjects are compared in blocks, and k a task are kept."""
+    rows = _means(means, by)
+    near = neighbours.nearest_to_each(rows, rows, "l2", k)
+    return near.select(F.col("q_id").alias("a"), "rank", F.col("imageid").alias("b"), V.closeness(F.col("score")).alias("sim"))

@@ -255,7 +255,7 @@ def subject_similarity_matrix(spark, sf_dir):
 
 @query(f"WITH {MATRIX_SQL}, r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM sim WHERE a <> b) SELECT a, rank::INT AS rank, b, round(s, 6) AS sim FROM r WHERE rank <= 3")
 def subject_similarity_top3(spark, sf_dir):
-    return subjects.most_similar(matrix(spark, sf_dir)).select("a", "rank", "b", r6("sim").alias("sim"))
+    return subjects.most_similar(subjects.centroids(subject_rows(spark, sf_dir))).select("a", "rank", "b", r6("sim").alias("sim"))
 
 
 # vectors
@@ -409,6 +409,11 @@ def latent_top5_images(spark, sf_dir):
     return ranking.top_loadings(loaded(spark, sf_dir))
 
 
+@query(f"{RANK_SQL} SELECT semantic, imageid, weight AS score FROM r WHERE rank = 1")
+def latent_best_by_dot(spark, sf_dir):
+    return ranking.best_for_each(features(spark, sf_dir), BASIS).select("semantic", "imageid", r6("score").alias("score"))
+
+
 @query(f"{RANK_SQL} SELECT semantic, imageid, weight AS score FROM r WHERE rank = 1")
 def latent_best_image(spark, sf_dir):
     return ranking.top_loadings(loaded(spark, sf_dir), 1).select("semantic", "imageid", F.col("weight").alias("score"))

@@ -101,7 +101,7 @@ def save_report(result: LatentSemantics, folder: str) -> None:
 def similar_subjects(rows: DataFrame, meta: DataFrame, k: int = 3) -> DataFrame:
     """(a, rank, b, sim) for every subject."""
     met = rows.join(metadata.unique_images(meta), rows["imageid"] == F.col("image_id")).select("subjectid", "vec")
-    return subjects.most_similar(subjects.similarity_matrix(subjects.centroids(met)), k)
+    return subjects.most_similar(subjects.centroids(met), k)
 
 
 def subject_semantics(matrix: DataFrame, k: int) -> DataFrame:
