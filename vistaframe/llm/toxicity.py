@@ -39,7 +39,7 @@ from .common import column, table
 
 PER_CLASS, MAX_CHARS, FOLDS = 2500, 20_000, 5
 PREFIXES, LEAST_DOCS, LEAST_LIFT = range(3, 9), 3, 2
-ROUNDS, RATE, PENALTY, BIAS = 200, 0.5, 5e-5, -7.0
+ROUNDS, RATE, PENALTY, BIAS = 300, 1.0, 1e-5, -7.0
 WORD, STOP = re.compile(r"[^\W_]+"), re.compile(r"[.!?]")
 #: Added to the weight of a token that ends a sentence.
 ENDS = 1e6
