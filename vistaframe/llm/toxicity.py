@@ -41,6 +41,7 @@ PER_CLASS, MAX_CHARS, FOLDS = 2500, 20_000, 5
 PREFIXES, LEAST_DOCS, LEAST_LIFT = range(3, 9), 3, 2
 ROUNDS, RATE, PENALTY, BIAS = 300, 1.0, 1e-5, -7.0
 WORD, STOP = re.compile(r"[^\W_]+"), re.compile(r"[.!?]")
+SETTLE = 25
 #: Added to the weight of a token that ends a sentence.
 ENDS = 1e6
 MOST_TOKENS_KEPT = 400_000
@@ -87,8 +88,9 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate:
     often = Counter({f: n for f, n in often.items() if n >= LEAST_DOCS})
     of: dict[str, list[str]] = {}
     for own in tokens:
-        for t in set(own) - of.keys():
-            of[t] = [f for f in features_of(t) if f in often]
+        for t in own:
+            if t not in of:
+                of[t] = [f for f in features_of(t) if f in often]
     seldom: Counter[str] = Counter()
     for own, label in zip(tokens, labels, strict=True):
         if not label:
@@ -115,7 +117,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate:
     x, s, doc, n = np.array(x, int), np.array(s, int), np.array(doc, int), len(doc)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels weigh alike
     w, b, seen_w, seen_b = np.zeros(len(known)), BIAS, np.full(len(known), 1e-8), 1e-8
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):
         z = b + np.bincount(s, w[x], n)
         p, p_plain = (1 / (1 + np.exp(-np.clip(v, -40, 40))) for v in (z, np.float64(b)))
         none = np.exp(-np.bincount(doc, np.logaddexp(0, z), len(y)) - plain * np.logaddexp(0, b))
@@ -126,6 +128,12 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate:
         seen_b += gb**2
         w = np.maximum(0, w - rate * gw / np.sqrt(seen_w))
         b -= rate * gb / np.sqrt(seen_b)
+        if turn % SETTLE == 0:  # features at zero that would rather fall stay there
+            live = ((w > 0) | (gw < 0))[x]
+            x, s = x[live], s[live]
+            used, s = np.unique(s, return_inverse=True)
+            plain += np.bincount(np.delete(doc, used), minlength=len(y))
+            doc, n = doc[used], len(used)
     kept = {f: float(w[k]) for f, k in known.items() if w[k] > 0}
     return Model({f[1:]: v for f, v in kept.items() if f[0] == "="}, {f: v for f, v in kept.items() if f[0] != "="}, float(b))
 
