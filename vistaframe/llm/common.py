@@ -17,9 +17,18 @@ NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A table of a few small files is dealt out anew: a file's only row group is one task, whatever the cores.
+SMALL_MB = 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; only Spark opens the path, so any store works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "pages") and len(rows.inputFiles()) < cores(spark):
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size <= SMALL_MB * 1e6:
+            return rows.repartition(cores(spark))
+    return rows
 
 
 def shared_dir(spark: SparkSession) -> str:
