@@ -150,3 +150,43 @@ def test_sketches_of_short_texts():
         fp, sketch = signature(t, sketched=True)
         assert len(sketch) == 64 and fp == fingerprint(t)
     assert signature("a b c d e f", sketched=True)[1] != signature("a b c d e g", sketched=True)[1]
+
+
+def lone_pairs(n=120, seed=11):
+    """Pairs of similarity 0.80 to 0.90, of 30 to 900 words, edited here and there, no two pairs alike."""
+    rng, texts = random.Random(seed), []
+    while len(texts) < 2 * n:
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 100, 300, 900]))]
+        words = list(base)
+        for _ in range(rng.randint(1, max(1, len(base) // 30))):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], [f"x{rng.randrange(10**6)}"], [words[at], f"x{rng.randrange(10**6)}"]])
+        a, b = " ".join(base), " ".join(words)
+        if 0.8 <= jaccard(a, b) < 0.9:
+            texts += [a, b]
+    return texts
+
+
+def test_lone_near_copies_at_the_threshold_are_all_found(docs_of):
+    from vistaframe.llm.simhash import Wider
+
+    texts = lone_pairs()
+    bits = [((fingerprint(a) ^ fingerprint(b)) % (1 << 64)).bit_count() for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert max(bits) >= 12  # beyond any walk of the trie that is affordable
+    kept = {r["doc_id"] for r in drop_near_duplicates(docs_of(texts), wider=Wider()).collect()}
+    assert kept == {i for i in range(len(texts)) if i % 2 == 0}
+
+
+def test_pairs_below_the_threshold_stay(docs_of):
+    from vistaframe.llm.simhash import Wider
+
+    rng, texts = random.Random(3), []
+    while len(texts) < 120:
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        words = list(base)
+        for at in rng.sample(range(200), rng.randint(5, 9)):
+            words[at] = "x"
+        a, b = " ".join(base), " ".join(words)
+        if 0.65 <= jaccard(a, b) < 0.8 and ((fingerprint(a) ^ fingerprint(b)) % (1 << 64)).bit_count() > 4:
+            texts += [a, b]
+    assert drop_near_duplicates(docs_of(texts), wider=Wider()).count() == 120

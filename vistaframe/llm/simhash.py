@@ -18,9 +18,9 @@ group, and a fingerprint goes to each group whose budget it can still meet.
 A group gives out at most one link a fingerprint (to the least of its local
 component), never all pairs. Copies share one fingerprint and are not paired.
 
-Four bits find copies that are all but equal. A ``Wider`` rule adds links up to
-more bits that a sketch of the documents' five-word shingles confirms; the
-pipeline uses it, so that copies of a similarity of 0.8 or more are found.
+Four bits find copies that are all but equal. A ``Wider`` rule adds links between
+texts whose similarity on five-word shingles is 0.8 or more, whatever their bits:
+``similar.py`` finds and verifies them. The pipeline uses it.
 
 Defined results: no word gives fingerprint zero, which links like any other;
 fewer than four words are one shingle; a null text is empty; a null doc_id
@@ -38,15 +38,15 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import map_batches
 from .common import materialize, shuffles, table
 from .components import components
+from .similar import Wider, grouped, least_hashes, similar_links, sketch_of, with_bands
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
-SLOTS, MOST = 64, np.uint64((1 << 64) - 1)
 #: Odd multipliers that spread bits.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Fingerprints under one node of the trie's dealt top, about, and that top's least depth.
@@ -55,19 +55,6 @@ BLOCK, LEAF, CHUNK = 1 << 20, 64, 1 << 18
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-@dataclass(frozen=True)
-class Wider:
-    """Links up to ``bits`` if sketches agree in ``similarity`` of their slots.
-
-    A sketch keeps the least hash of five-word shingles in each of ``SLOTS``
-    classes, one byte each; the share of equal slots estimates the Jaccard
-    similarity with a standard error of about 0.05, hence the slack below 0.8.
-    """
-
-    bits: int = 11
-    similarity: float = 0.765
-
-
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
     """XXH64 of a text's shingles, a bounded number at a time."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and ASCII white space, only
@@ -79,32 +66,36 @@ def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
         yield np.array(part, "<u8")
 
 
+def longer(h: np.ndarray, last: np.ndarray | None, alone: bool) -> np.ndarray:
+    """Hashes of shingles one word longer, from those of neighbours; ``alone``: a text's only one stands for itself."""
+    h = h if last is None else np.append(last, h)
+    pair = h if alone else (h[:-1] * MIX[0]) ^ ((h[1:] >> np.uint64(31)) * MIX[1]) ^ h[1:]
+    return (pair ^ (pair >> np.uint64(29))) * MIX[2]
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles of one word more than ``shingle``."""
+    h = np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, shingle)])
+    return np.unique(longer(h, None, len(h) == 1)) if len(h) else h
+
+
 def signature(text: str | None, shingle: int = SHINGLE, sketched: bool = False) -> tuple[int, bytes | None]:
     """The fingerprint as a signed 64-bit integer and, if asked for, the sketch."""
-    n, bits, last, least = 0, np.zeros(64, np.int64), None, np.full(SLOTS, MOST, "<u8")
+    fp, least = signed(text, shingle, sketched)
+    return fp, sketch_of(least) if sketched else None
+
+
+def signed(text: str | None, shingle: int = SHINGLE, hashed: bool = False) -> tuple[int, np.ndarray | None]:
+    """The fingerprint and, if asked for, the least hashes of the shingles one word longer."""
+    n, bits, last, least = 0, np.zeros(64, np.int64), None, least_hashes(None)
     for h in shingle_hashes(text, shingle):
         bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
-        if sketched:
-            # two neighbouring shingles stand for the shingle that is one word longer
-            h = h if last is None else np.append(last, h)
+        if hashed:
+            least = least_hashes(longer(h, last, n == 1), least)
             last = h[-1:]
-            pair = h if n == 1 else (h[:-1] * MIX[0]) ^ ((h[1:] >> np.uint64(31)) * MIX[1]) ^ h[1:]
-            pair = (pair ^ (pair >> np.uint64(29))) * MIX[2]
-            np.minimum.at(least, (pair >> np.uint64(58)).astype(np.intp), pair & np.uint64((1 << 58) - 1))
     fp = int(np.packbits(2 * bits > n, bitorder="little").view("<i8")[0]) if n else 0
-    return fp, _dense(least) if sketched else None
-
-
-def _dense(least: np.ndarray) -> bytes:
-    """One byte a slot; an empty slot takes the next filled one's, marked by the way there."""
-    filled = np.flatnonzero(least != MOST)
-    if not len(filled):
-        return bytes(SLOTS)
-    slots = np.arange(SLOTS)
-    at = filled[np.searchsorted(filled, slots) % len(filled)]
-    way = ((at - slots) % SLOTS).astype("<u8")
-    return (((least[at] + way * MIX[0]) * MIX[1]) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return fp, least if hashed else None
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -112,14 +103,24 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", sketched: bool = False) -> DataFrame:
-    """(doc_id, fp) for every row, and ``sketch`` (else null); fp is a long."""
+    """(doc_id, fp) for every row, fp a long; with ``sketched`` also node (a hash of the text), sketch and bands."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(t.as_py(), shingle, sketched) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["doc_id", "fp", "sketch"])
+            found = [signed(t.as_py(), shingle, sketched) for t in batch.column(2)]
+            out = [batch.column(0), pa.array([f for f, _ in found], pa.int64())]
+            names = ["doc_id", "fp"]
+            if sketched:
+                out, names = [*out, batch.column(1), *with_bands([x for _, x in found])], [*names, "node", "sketch", "bands"]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    schema = "doc_id long, fp long" + (", node long, sketch binary, bands array<long>" if sketched else "")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), node_of(text), F.col(text)), kernel, schema)
+
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col(text)), kernel, "doc_id long, fp long, sketch binary")
+def node_of(text: str = "text") -> Column:
+    """A text as a long: its hash."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("node")
 
 
 class Linker:
@@ -174,9 +175,9 @@ def rotated(x: np.ndarray, turn: int) -> np.ndarray:
     return (x << np.uint64(turn)) | (x >> np.uint64(64 - turn)) if turn else x
 
 
-def walk(keys: np.ndarray, first: tuple[int, int], second: tuple[int, int], order: Order, budget: int, depth: int, linker: Linker, near) -> None:
+def walk(keys: np.ndarray, first: tuple[int, int], second: tuple[int, int], order: Order, budget: int, depth: int, linker: Linker) -> None:
     """Walk the node pairs below two nodes (ranges of the sorted ``keys``, equal for a
-    node with itself) and link the leaves that ``near`` accepts. ``depth``: bits that
+    node with itself) and link the leaves within ``budget``. ``depth``: bits that
     all keys of a node share."""
     zeros: dict[int, np.ndarray] = {}
 
@@ -197,7 +198,7 @@ def walk(keys: np.ndarray, first: tuple[int, int], second: tuple[int, int], orde
         size = (ahi - alo) * (bhi - blo)
         leaf = (size <= LEAF) | (d >= 64)
         if leaf.any():
-            compare(keys, alo[leaf], ahi[leaf], blo[leaf], bhi[leaf], budget, linker, near)
+            compare(keys, alo[leaf], ahi[leaf], blo[leaf], bhi[leaf], budget, linker)
         alo, ahi, blo, bhi, err = (x[~leaf] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
@@ -216,7 +217,7 @@ def walk(keys: np.ndarray, first: tuple[int, int], second: tuple[int, int], orde
             stack.append((d + 1, *(x[at : at + BLOCK] for x in new)))
 
 
-def compare(keys, alo, ahi, blo, bhi, budget: int, linker: Linker, near) -> None:
+def compare(keys, alo, ahi, blo, bhi, budget: int, linker: Linker) -> None:
     """Compare all leaves of small node pairs, in blocks."""
     nb = bhi - blo
     size = (ahi - alo) * nb
@@ -230,94 +231,61 @@ def compare(keys, alo, ahi, blo, bhi, budget: int, linker: Linker, near) -> None
         i, j = alo[of] + k // nb[of], blo[of] + k % nb[of]
         new = linker.label[i] != linker.label[j]
         i, j = i[new], j[new]
-        bits = np.bitwise_count(keys[i] ^ keys[j])
-        found = np.flatnonzero(bits <= budget)
-        i, j = i[found], j[found]
-        good = near(i, j, bits[found])
+        good = np.bitwise_count(keys[i] ^ keys[j]) <= budget
         if good.any():
             linker.add(i[good], j[good])
         lo = hi
 
 
-def _links(depth: int, orders: list[Order], max_bits: int, wider: Wider | None):
-    """Groups of rows (group, key, sketch), ascending by group, to links (u, v) of signed fingerprints."""
-    budget = max(max_bits, wider.bits if wider else 0)
+def _links(depth: int, orders: list[Order], budget: int):
+    """Groups of rows (group, key), ascending by group, to links (u, v) of signed fingerprints."""
 
-    def of_group(group: int, keys: np.ndarray, sketches: np.ndarray | None) -> pa.RecordBatch:
+    def of_group(group: int, keys: np.ndarray) -> pa.RecordBatch:
         order = orders[group % len(orders)]
-        by = np.argsort(keys, kind="stable")
-        keys = keys[by]
-        sketches = None if sketches is None else sketches[by]
-
-        def near(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> np.ndarray:
-            good = bits <= max_bits
-            if wider and not good.all():
-                more = np.flatnonzero(~good)
-                for at in range(0, len(more), BLOCK >> 4):
-                    m = more[at : at + (BLOCK >> 4)]
-                    good[m] = (sketches[i[m]] == sketches[j[m]]).sum(1) >= wider.similarity * SLOTS
-            return good
-
+        keys = np.sort(keys)
         linker = Linker(len(keys))
         top = keys >> np.uint64(64 - depth)
         cut = int(np.searchsorted(top, top[-1])) if top[0] != top[-1] else 0
         first, second = ((0, cut), (cut, len(keys))) if cut else ((0, len(keys)),) * 2
         for most in sorted({min(1, budget), budget}):
-            walk(keys, first, second, order, most, depth, linker, near)
+            walk(keys, first, second, order, most, depth, linker)
         child = np.flatnonzero(linker.label != np.arange(len(keys)))
         fps = rotated(keys, (64 - order.turn) % 64).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(fps[linker.label[child]]), pa.array(fps[child])], ["u", "v"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-
-        def done() -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _ in held]).view(np.uint64)
-            return of_group(int(group), keys, np.concatenate([x for _, x in held]) if wider else None)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            g, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-            sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SLOTS) if wider else None
-            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if g[lo] != group and held:
-                    yield done()
-                    held = []
-                group = g[lo]
-                held.append((keys[lo:hi], sketches[lo:hi] if wider else None))
-        if held:
-            yield done()
+        for group, (keys,) in grouped(batches):
+            yield of_group(group, keys.view(np.uint64))
 
     return kernel
 
 
-def link_fingerprints(fps: DataFrame, n: int, max_bits: int = MAX_BITS, wider: Wider | None = None) -> DataFrame:
-    """Links (u, v) that join all of the distinct fingerprints ``fps`` (fp, and sketch
-    for a wider rule) which chains of near pairs join. ``n``: about how many there are."""
-    orders = orders_for(max(max_bits, wider.bits if wider else 0))
-    depth = max(4 if wider else LEAST_DEPTH, int(np.ceil(np.log2(max(n, 1) / PER_NODE))))
-    sketch = F.col("sketch") if wider else F.lit(None).cast("binary").alias("sketch")
+def link_fingerprints(fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links (u, v) that join all of the distinct fingerprints ``fps`` (fp) which chains
+    of near pairs join. ``n``: about how many there are."""
+    orders = orders_for(max_bits)
+    depth = max(LEAST_DEPTH, int(np.ceil(np.log2(max(n, 1) / PER_NODE))))
     dealt = None
     for number, order in enumerate(orders):
         masks = [m for m in range(1 << depth) if m.bit_count() <= order.budget]
         key = F.col("fp") if not order.turn else F.shiftleft("fp", order.turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - order.turn))
         top = F.shiftrightunsigned(key, 64 - depth)
         other = top.bitwiseXOR(F.col("m"))
-        masked = fps.select("fp", sketch, F.explode(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")).alias("m"))
+        masked = fps.select("fp", F.explode(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")).alias("m"))
         pair = F.call_function("shiftleft", F.least(top, other), F.lit(depth)) + F.greatest(top, other)
-        rows = masked.select((len(orders) * pair + number).alias("g"), key.alias("key"), "sketch")
+        rows = masked.select((len(orders) * pair + number).alias("g"), key.alias("key"))
         dealt = rows if dealt is None else dealt.unionByName(rows)
     dealt = dealt.repartition(max(shuffles(fps.sparkSession), 8), "g").sortWithinPartitions("g")
-    return map_batches(dealt, _links(depth, orders, max_bits, wider), "u long, v long")
+    return map_batches(dealt, _links(depth, orders, max_bits), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, wider: Wider | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     rows = materialize(fingerprints(docs, shingle, sketched=wider is not None), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")), "distinct")
-    links = link_fingerprints(distinct.select("fp", "sketch"), distinct.count(), max_bits, wider)
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    links = link_fingerprints(distinct.select("fp"), distinct.count(), max_bits)
+    if wider:
+        links = similar_links(docs.select(node_of(), "text"), rows, materialize(links, "links"), wider, shingle)
     labels = components(links)
     of = distinct.join(labels, distinct["fp"] == labels["node"]).select("fp", "label", "least")
     named = of.groupBy("label").agg(F.min("least").alias("component_id"))
