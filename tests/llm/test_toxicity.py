@@ -90,3 +90,21 @@ def test_accuracy_on_the_documents(spark):
     held = [(out[r["doc_id"]]["predicted"], r["toxic"]) for r in labels if out[r["doc_id"]]["held_out"]]
     assert np.mean([a == b for a, b in held]) >= 0.85
     assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in out.items())
+
+
+def test_length_alone_is_not_toxic(model):
+    scorer, rng = Scorer(model), random.Random(4)
+    clean = " ".join(" ".join(rng.choices(WORDS, k=8)) + "." for _ in range(120_000))
+    assert len(clean) > 3_000_000 and scorer.sentence_scores(clean).max() < 0.5 and scorer.score(clean) < 0.5
+    assert scorer.score("plain talk. " * 300_000) == 0
+    assert scorer.score(clean + " vile.") >= 0.5
+
+
+def test_faint_sentences_do_not_add_up():
+    from vistaframe.llm.toxicity import Model
+
+    scorer = Scorer(Model({"dim": 5.0, "vile": 12.0}, {}, -8.0))
+    assert 0.02 < scorer.sentence_scores("dim.")[0] < 0.05
+    text = ("dim. " + "plain. " * 99) * 4000
+    assert scorer.score(text) < 0.05 and scorer.score(text + "vile.") >= 0.5
+    assert scorer.score("dim. " * 20) > 0.5  # within a passage they do

@@ -8,6 +8,12 @@ the sentences that can explain a label, and the same scores later locate them.
 A word's weight is the sum of those of the word and of its first letters, so
 forms that training never saw are judged by their stem.
 
+Scores must not climb with length alone. The fit's bias gives a sentence without
+a feature a small probability, which explains labels that no sentence does; it is
+taken out of every sentence's probability when texts are scored. And faint ones add
+up only within a passage of ``PASSAGE`` sentences: a document's score is that of its
+most harmful passage, wherever that begins; a shorter document is one passage.
+
 The fit uses a bounded sample: at most ``per_class`` labelled documents of each
 label, those of least hash of doc_id, of at most ``max_chars`` characters each.
 Everything else runs over all whole texts, row by row, without a shuffle.
@@ -42,6 +48,7 @@ PREFIXES, LEAST_DOCS, LEAST_LIFT = range(3, 9), 3, 2
 ROUNDS, RATE, PENALTY, BIAS = 300, 1.0, 1e-5, -7.0
 WORD, STOP = re.compile(r"[^\W_]+"), re.compile(r"[.!?]")
 SETTLE = 25
+PASSAGE = 64
 #: Added to the weight of a token that ends a sentence.
 ENDS = 1e6
 MOST_TOKENS_KEPT = 400_000
@@ -143,6 +150,14 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
 
+def document_score(p: np.ndarray) -> float:
+    """The greatest noisy-or of ``PASSAGE`` sentences in a row."""
+    if len(p) <= PASSAGE:
+        return noisy_or(p)
+    sums = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
+    return float(-np.expm1((sums[PASSAGE:] - sums[:-PASSAGE]).min()))
+
+
 class Scorer(dict):
     """Scores texts; as a dict it keeps the weights of tokens met before, up to a bound."""
 
@@ -166,7 +181,7 @@ class Scorer(dict):
         return out
 
     def sentence_scores(self, text: str | None) -> np.ndarray:
-        """A probability for each sentence."""
+        """A probability for each sentence, zero without a feature."""
         tokens = tokens_of(text)
         if not tokens or not np.isfinite(self.model.bias):
             return np.zeros(0)
@@ -175,10 +190,11 @@ class Scorer(dict):
         weight[ends] -= ENDS
         starts = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
         z = np.add.reduceat(weight, starts) + self.model.bias
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        p, floor = (1 / (1 + np.exp(-np.clip(v, -40, 40))) for v in (z, np.float64(self.model.bias)))
+        return (p - floor) / (1 - floor)
 
     def score(self, text: str | None) -> float:
-        return noisy_or(self.sentence_scores(text))
+        return document_score(self.sentence_scores(text))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -217,7 +233,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
             *own, text = batch.columns
             found = [scorer.sentence_scores(t.as_py()) for t in text]
             at = [np.flatnonzero(p >= 0.5).tolist() if locate else None for p in found]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(map(noisy_or, found), pa.float64()), pa.array(at, pa.list_(pa.int32()))], schema.names)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(map(document_score, found), pa.float64()), pa.array(at, pa.list_(pa.int32()))], schema.names)
 
     out = map_batches(own, kernel, schema)
     named = [F.col(f"__{i}").alias(c) for i, c in enumerate(keep)]
