@@ -190,3 +190,13 @@ def test_pairs_below_the_threshold_stay(docs_of):
         if 0.65 <= jaccard(a, b) < 0.8 and ((fingerprint(a) ^ fingerprint(b)) % (1 << 64)).bit_count() > 4:
             texts += [a, b]
     assert drop_near_duplicates(docs_of(texts), wider=Wider()).count() == 120
+
+
+def test_all_texts_of_a_shared_fingerprint_count(docs_of):
+    from vistaframe.llm.simhash import Wider
+
+    parts = [" ".join(f"{c}{i}" for i in range(80)) for c in "vw"]
+    same = ["rep " * 400 + p for p in parts]
+    assert fingerprint(same[0]) == fingerprint(same[1]) and jaccard(*same) < 0.1
+    assert all(jaccard(a, b) >= 0.8 and (fingerprint(a) ^ fingerprint(b)) % (1 << 64) for a, b in zip(same, parts, strict=True))
+    assert drop_near_duplicates(docs_of([*same, *parts]), wider=Wider()).count() == 1
