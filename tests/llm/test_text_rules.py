@@ -87,3 +87,9 @@ def test_spans_are_cut_and_heavy_documents_go(docs_of, spark):
     cut = f"({filler}! The end."
     assert rows == [(0, cut, len(cut)), (0, "other text of the same id", 25), (3, "", 0), (4, "Plain (text)!", 13), (5, filler, len(filler))]
     assert find_hits(out, bench).where("size(hits) > 0").count() == 0
+
+
+def test_long_tokens_and_upper_case_schemes_in_addresses_are_masked(docs_of):
+    texts = ["x https://me:" + "k" * 300 + "@host/ y", "x https://" + "u" * 300 + ":pw@host/ y", "x HTTPS://me:pw@host/ y", "x Ftp://me:pw@host/ y"]
+    out = {r["doc_id"]: r["text"] for r in redact_secrets(docs_of(texts)).collect()}
+    assert [out[i] for i in range(4)] == ["x [SECRET]host/ y"] * 4

@@ -30,7 +30,7 @@ RULES = (
     Rule("google", r"AIza[0-9A-Za-z_-]{35,}"),
     Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]{1,256}:[^\x00-\x20/:@]{1,256}@"),
+    Rule("url", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@"),
 )
 
 #: A query is an OR of ANDs of trigrams; ALL holds for every text.
