@@ -47,3 +47,13 @@ def test_grants_keep_loads_within_the_quota():
     part = grants(load, wishes, 12)
     after = [load[s] + sum(v * part[b] for (a, b), v in wishes.items() if b == s) - sum(v * part[b] for (a, b), v in wishes.items() if a == s) for s in range(3)]
     assert max(after) <= 12.1 and part[0] == 1
+
+
+def test_few_wishes_among_many_rows_are_heard(spark):
+    from vistaframe.llm.sharding import propagate
+
+    cells = spark.createDataFrame([(f"k{i}".encode(), s, 1) for i in range(4) for s in (i, i + 1)], "key binary, init int, n long")
+    found = defaultdict(set)
+    for r in propagate(cells, 10_000_000, 8).collect():
+        found[bytes(r["key"])].add(r["label"])
+    assert all(len(s) == 1 for s in found.values())

@@ -6,7 +6,8 @@ cells towards the shard where most of their text is, ties to the shard that a
 hash of the text prefers, so all cells of a text choose alike. Wishes for a
 shard beyond its quota are granted in part, chosen by hash; a full shard takes
 no more, and its suitors turn to the next best. A text with a third of all
-rows is 24 cells of a seventy-second each, so no key is hot.
+rows is 24 cells of a seventy-second each, so no key is hot. Rounds end when no cell
+wishes to move, or after ``ROUNDS``, which may leave groups cut.
 
 Documents without a link cost nothing to move. They even the shards out
 afterwards: a shard above its due gives its surplus, unlinked rows first, to
@@ -70,8 +71,7 @@ def propagate(cells: DataFrame, total: int, shards: int = SHARDS, rounds: int =
         wish = seen.groupBy("key", "init", "label", "n").agg(F.max(liking)["target"].alias("wish"), F.sum("votes").alias("all"))
         wish = materialize(wish.select("key", "init", "label", "n", "wish", "all"), "wishes")
         wishes = {(a, b): n for a, b, n in wish.where("wish <> label").groupBy("label", "wish").agg(F.sum("n")).collect()}
-        moved = sum(wishes.values())
-        if moved <= total // 100_000:
+        if not wishes:
             return state
         part = grants(load, wishes, most)
         # texts that would fill much of a shard are granted cell by cell
