@@ -43,3 +43,19 @@ def test_empty_documents(spark, sf, tmp_path):
         stage(spark, docs, sf).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.count() == 0
+
+
+def test_null_and_repeated_ids_lose_no_unrelated_text(spark, sf, tmp_path):
+    """Every stage judges rows; packing gives each row that is left its pieces."""
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    texts = [" ".join(f"{c}{i}" for i in range(50)) for c in "pqrstu"]
+    item = next(r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r["text"].split()) >= 12)
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[0]), (None, f"{texts[4]} {item}"), (9, f"{texts[5]} {item}"), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, None if t is None else len(t)) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name == "secrets":
+            left = [(r["doc_id"], r["text"]) for r in docs.collect()]
+            assert sorted(left, key=str) == sorted([(8, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, None)], key=str)
+    assert sorted(str(r["doc_id"]) for r in docs.where("start = 0").collect()) == ["7", "7", "8", "9", "None"]

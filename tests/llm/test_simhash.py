@@ -200,3 +200,39 @@ def test_all_texts_of_a_shared_fingerprint_count(docs_of):
     assert fingerprint(same[0]) == fingerprint(same[1]) and jaccard(*same) < 0.1
     assert all(jaccard(a, b) >= 0.8 and (fingerprint(a) ^ fingerprint(b)) % (1 << 64) for a, b in zip(same, parts, strict=True))
     assert drop_near_duplicates(docs_of([*same, *parts]), wider=Wider()).count() == 1
+
+
+def test_rows_go_and_not_ids(spark):
+    """Null and repeated ids: an unrelated text is never lost."""
+    from vistaframe.llm.simhash import Wider
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a, 1), (None, b, 2), (None, c, 3), (5, a, 4), (5, d, 5), (1, b, 6), (3, b, 7), (3, c, 8), (3, c, 8), (7, None, 9), (None, "", 10), (None, None, 11)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, `text.x` int")
+    for wider in (None, Wider()):
+        out = sorted((r["doc_id"], r["text"], r["text.x"]) for r in drop_near_duplicates(docs, wider=wider).collect())
+        assert out == [(1, b, 6), (3, c, 8), (5, a, 4), (5, d, 5), (7, None, 9)]
+
+
+def test_query_returns_the_contract(spark, sf):
+    from vistaframe.llm.queries import QUERIES
+
+    out = QUERIES["op8_simhash"](spark, sf)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in out.collect()}
+    fps = {i: fingerprint(t) % (1 << 64) for i, t in docs.items()}
+    label = {i: i for i in docs}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(docs)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    assert {i: (r["fingerprint"], r["component_id"]) for i, r in rows.items()} == {i: (f"{fps[i]:016x}", root(i)) for i in ids}

@@ -75,6 +75,14 @@ def test_contaminated_documents_go(docs_of, spark):
     assert {r["doc_id"]: r["hits"] for r in shuffled.collect()} == {k: v["hits"] for k, v in found.items()}
 
 
+def test_decontamination_drops_rows_and_not_ids(docs_of, spark):
+    passage = " ".join(f"t{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(None, passage), (None, "clean"), (None, None), (4, f"a {passage}"), (4, "clean too"), (4, ""), (5, passage)]
+    out = sorted(str((r["doc_id"], r["text"])) for r in decontaminate(docs_of(rows), bench).collect())
+    assert out == sorted(str(x) for x in [(None, "clean"), (None, None), (4, "clean too"), (4, "")])
+
+
 def test_spans_are_cut_and_heavy_documents_go(docs_of, spark):
     passage = " ".join(f"T{i}," for i in range(12))
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")

@@ -28,7 +28,7 @@ from .lets import indices, let
 WINDOW, FIRST = 10, 4
 #: Bits of the bitmap for each window, and its least and greatest size in 64-bit words.
 BITS_PER_WINDOW, LEAST_LONGS, MOST_LONGS = 64, 1 << 6, 1 << 16
-MAX_BROADCAST_MB = 64
+MAX_BROADCAST_MB, MAX_BROADCAST_ROWS = 64, 1_000_000
 #: Runs between words, in a text whose letters keep their case; the share of a document's words that may be cut.
 SEPARATOR, MAX_SHARE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 0.2
 
@@ -59,10 +59,11 @@ def _bitmap(windows: DataFrame, first: int, longs: int) -> Column:
     return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # folded into one literal
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), max_broadcast_mb: float = MAX_BROADCAST_MB) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), max_broadcast_mb: float = MAX_BROADCAST_MB, every: bool = True) -> DataFrame:
     """One row per document: the columns of ``keep``, n_words, hits (array of
     start and length in words, ascending), items (distinct ids of items with
-    occurring windows, sorted as strings)."""
+    occurring windows, sorted as strings). Without ``every``, documents no window
+    of which passes the bitmap have no row."""
     windows = materialize(bench_windows(benchmark, window), "windows")
     sizes = windows.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.octet_length("window") + 16 * F.size("items") + 64).alias("bytes")).collect()
     lengths, total = sorted(r["length"] for r in sizes), sum(r["n"] for r in sizes)
@@ -86,7 +87,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep:
 
     names = [column(c).alias(f"__{i}") for i, c in enumerate(keep)]
     scanned = docs.select(*names, F.monotonically_increasing_id().alias("__row"), F.inline(F.array(let(words_of(ascii_lower(F.col("text")), NOT_ALNUM), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), candidates(w).alias("found"))))))
-    passed = scanned.select(*(f"__{i}" for i in range(len(keep))), "__row", "n_words", F.inline_outer("found"))
+    passed = scanned.select(*(f"__{i}" for i in range(len(keep))), "__row", "n_words", (F.inline_outer if every else F.inline)("found"))
     other = windows.select(F.col("length"), F.col("window"), F.col("items"))
     met = passed.join(F.broadcast(other) if small else other, ["length", "window"], "left")
     hit = F.when(F.col("items").isNotNull(), F.struct("start", "length"))
@@ -102,10 +103,19 @@ def words_hit(hits: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, all their columns, without those that hold a benchmark
-    window. Rows that share a doc_id stand and fall together."""
-    bad = find_hits(docs, benchmark, window).where(F.size("hits") > 0).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The documents, all their columns, without those that hold a benchmark window.
+    Rows are told apart by doc_id and text: one with a hit takes no other text along.
+    What goes is broadcast up to ``MAX_BROADCAST_ROWS``, so texts stay where they are."""
+    bad = find_hits(docs.select("doc_id", "text", digest().alias("__digest")), benchmark, window, ("doc_id", "__digest"), every=False)
+    bad = materialize(bad.where(F.size("hits") > 0).select(F.col("doc_id").alias("__of"), F.col("__digest").alias("__at")).distinct(), "contaminated")
+    if bad.count() <= MAX_BROADCAST_ROWS:  # of two longs each
+        bad = F.broadcast(bad)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__of"]) & (digest() == bad["__at"]), "left_anti")
+
+
+def digest() -> Column:
+    """A text's hash; a null text's is that of the empty one."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def without_words(text: Column, hits: Column) -> Column:
@@ -127,10 +137,9 @@ def without_words(text: Column, hits: Column) -> Column:
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = MAX_SHARE) -> DataFrame:
     """The documents, all their columns, without the words of benchmark windows; those
     with more than ``max_share`` of their words in windows go. n_chars, if there, follows."""
-    digest = F.xxhash64("text")
-    found = find_hits(docs.select("doc_id", "text", digest.alias("__digest")), benchmark, window, ("doc_id", "__digest")).where(F.size("hits") > 0)
+    found = find_hits(docs.select("doc_id", "text", digest().alias("__digest")), benchmark, window, ("doc_id", "__digest"), every=False).where(F.size("hits") > 0)
     found = found.groupBy(F.col("doc_id").alias("__of"), F.col("__digest").alias("__at")).agg(F.first("n_words").alias("__n"), F.first("hits").alias("__hits"))
-    met = docs.join(found, docs["doc_id"].eqNullSafe(found["__of"]) & (F.xxhash64(docs["text"]) == found["__at"]), "left")
+    met = docs.join(found, docs["doc_id"].eqNullSafe(found["__of"]) & (digest() == found["__at"]), "left")
     kept = met.where(F.col("__hits").isNull() | (words_hit(F.col("__hits")) <= max_share * F.col("__n")))
     cut = kept.withColumn("__cut", F.when(F.col("__hits").isNull(), F.col("text")).otherwise(without_words(F.col("text"), F.col("__hits"))))
     new = {"text": F.col("__cut")}

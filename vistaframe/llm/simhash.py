@@ -25,8 +25,10 @@ texts whose similarity on five-word shingles is 0.8 or more, whatever their bits
 Defined results: no word gives fingerprint zero, which links like any other;
 fewer than four words are one shingle; a null text is empty; a null doc_id
 belongs to a component but never names it unless there is no other; repeated
-rows share a fingerprint; an empty table gives no rows; further columns are
-not carried.
+rows share a fingerprint, and rows of one doc_id with different texts are judged
+each by its text; a pair at exactly the budget is linked; a very long text is
+hashed whole, a bounded number of shingles at a time; an empty table gives no
+rows; further columns are not carried (``drop_near_duplicates`` carries all).
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import map_batches
-from .common import materialize, shuffles, table
+from .common import column, materialize, shuffles, table
 from .components import components
 from .similar import Wider, grouped, least_hashes, similar_links, sketch_of, with_bands
 
@@ -102,19 +104,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return signature(text, shingle)[0]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", sketched: bool = False) -> DataFrame:
-    """(doc_id, fp) for every row, fp a long; with ``sketched`` also node (a hash of the text), sketch and bands."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", sketched: bool = False, noded: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row, fp a long; with ``noded`` also node (a hash of the
+    text), with ``sketched`` node, sketch and bands."""
+    noded = noded or sketched
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [signed(t.as_py(), shingle, sketched) for t in batch.column(2)]
             out = [batch.column(0), pa.array([f for f, _ in found], pa.int64())]
             names = ["doc_id", "fp"]
+            if noded:
+                out, names = [*out, batch.column(1)], [*names, "node"]
             if sketched:
-                out, names = [*out, batch.column(1), *with_bands([x for _, x in found])], [*names, "node", "sketch", "bands"]
+                out, names = [*out, *with_bands([x for _, x in found])], [*names, "sketch", "bands"]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    schema = "doc_id long, fp long" + (", node long, sketch binary, bands array<long>" if sketched else "")
+    schema = "doc_id long, fp long" + ", node long" * noded + ", sketch binary, bands array<long>" * sketched
     return map_batches(docs.select(F.col("doc_id").cast("long"), node_of(text), F.col(text)), kernel, schema)
 
 
@@ -279,36 +285,51 @@ def link_fingerprints(fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataF
     return map_batches(dealt, _links(depth, orders, max_bits), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, wider: Wider | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
-    rows = materialize(fingerprints(docs, shingle, sketched=wider is not None), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+def _classes(docs: DataFrame, max_bits: int, shingle: int, wider: Wider | None, name: Column, noded: bool) -> DataFrame:
+    """The rows of ``fingerprints`` and ``named``: the least ``name`` of each row's component."""
+    rows = materialize(fingerprints(docs, shingle, sketched=wider is not None, noded=noded), "fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(name).alias("least")), "distinct")
     links = link_fingerprints(distinct.select("fp"), distinct.count(), max_bits)
     if wider:
         links = similar_links(docs.select(node_of(), "text"), rows, materialize(links, "links"), wider, shingle)
     labels = components(links)
     of = distinct.join(labels, distinct["fp"] == labels["node"]).select("fp", "label", "least")
-    named = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = of.join(named, "label").select("fp", "component_id")
+    named = of.groupBy("label").agg(F.min("least").alias("named"))
+    linked = of.join(named, "label").select("fp", "named")
     # a table of its own, so that the last join has an exchange on either side and adaptive
     # execution may split a fingerprint that many copies share
-    known = materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "known")
-    return rows.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+    known = materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("named")), "known")
+    return rows.join(known, "fp", "left").select("doc_id", *(["node"] if noded else []), "fp", "named")
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, wider: Wider | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    return _classes(docs, max_bits, shingle, wider, F.col("doc_id"), False).withColumnRenamed("named", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, wider: Wider | None = None) -> DataFrame:
-    """The documents, all their columns, with one document of each component:
-    the one with the least doc_id, once (a null doc_id only where there is no other)."""
-    found = materialize(near_duplicates(docs, max_bits, shingle, wider), "components")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    if gone.count() <= MAX_BROADCAST_ROWS:  # of one long each
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    """The documents, all their columns, with one row of each component: that of the
+    least doc_id (a null one only where there is no other), and of those the one of
+    the least hash of the text. Rows are told apart by doc_id and text, so rows of
+    one doc_id, or of none, stay as long as their texts are unlike; of rows alike in
+    both any one stays."""
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    found = _classes(docs, max_bits, shingle, wider, first, True)
+    stays = F.col("doc_id").eqNullSafe(F.col("named")["doc_id"]) & (F.col("node") == F.col("named")["node"])
+    keys = found.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), stays.alias("__stays"))
+    keys = materialize(keys.groupBy("__id", "__node", "__stays").agg(F.count("*").alias("__n")).where("not __stays or __n > 1"), "components")
+    n = keys.count()
+    few = F.broadcast if n <= MAX_BROADCAST_ROWS else lambda df: df  # of two longs each
+    met = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (node_of() == F.col("__node"))
+    kept = docs.join(few(keys.where("not __stays")), met, "left_anti")
+    again = keys.where("__stays")
     if not again.limit(1).count():
         return kept
-    same = docs["doc_id"].eqNullSafe(again["__again"])
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(few(again), met, "left_semi")
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    once = once.select(*(column(c).alias(a) for c, a in zip(docs.columns, names, strict=True)), F.col("doc_id").cast("long").alias("__id"), node_of().alias("__node"))
+    once = once.dropDuplicates(["__id", "__node"]).select(*(F.col(a).alias(c) for c, a in zip(docs.columns, names, strict=True)))
+    return kept.join(few(again), met, "left_anti").unionByName(once)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
