@@ -1,8 +1,13 @@
 import numpy as np
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from vistaframe.operators import codebook, factor, histograms, linear, oneclass, ranking
+from vistaframe.plans import tasks
 from vistaframe.plans.tasks import latent_semantics, similar_in_latent_space
+from vistaframe.sources.features import FeatureStore
+from vistaframe.sources.models import ModelStore
 
 
 def table(spark, x):
@@ -100,7 +105,7 @@ def test_latent_semantics_and_fold_in(spark):
         assert best[s][0] == str(d.argmax()) and np.isclose(best[s][1], d.max())
     part = rows.where("imageid <> '0'")
     fitted = factor.svd(part, 2)
-    near = similar_in_latent_space(fitted.reduced, "0", rows, fitted, 4).collect()
+    near = similar_in_latent_space(fitted.reduced, "0", rows, fitted.basis, 4).collect()
     assert near[0]["imageid"] == "0" and near[0]["score"] == 0 and len(near) == 4
 
 
@@ -119,3 +124,57 @@ def test_nearest_to_each_against_numpy(spark):
     one = {r["imageid"]: r["score"] for r in neighbours.nearest(rows, rows.where("imageid = '5'"), "euclidean", 4).collect()}
     each = {r["imageid"]: r["score"] for r in neighbours.nearest_to_each(rows, rows.where("imageid = '5'"), "euclidean", 4).collect()}
     assert one.keys() == each.keys() and all(np.isclose(one[i], each[i]) for i in one)
+
+
+@pytest.mark.parametrize("bad", [[("a", [1.0, 2.0, 3.0]), ("b", [1.0, 2.0, 3.0, 4.0, 5.0])], [("a", [1.0, None]), ("b", [1.0, 2.0])], [("a", [1.0]), ("b", [1.0, 2.0, 3.0])]])
+def test_unequal_vectors_and_null_elements_are_an_error(spark, bad):
+    rows = spark.createDataFrame(bad, "imageid string, vec array<double>")
+    for parts in (1, 2):
+        for run in (lambda r: factor.pca(r, 1), lambda r: factor.svd(r, 1), lambda r: factor.nmf(r, 1), linear.standard_scale):
+            with pytest.raises((PySparkException, ValueError), match="unequal lengths|null element"):
+                run(rows.repartition(parts))
+
+
+def test_stored_models_give_the_same_scores(spark, tmp_path):
+    store, models = FeatureStore(spark, str(tmp_path / "f")), ModelStore(spark, str(tmp_path / "m"))
+    rows = table(spark, X)
+    store.upsert(rows, "l")
+    assert models.load("l_svd") is None
+    with pytest.raises(ValueError):
+        tasks.similar_by_stored_model(store, models, "0", "l", "svd")
+    for k in (3, 2):  # the newest counts
+        found = latent_semantics(rows.where("imageid <> '0'"), "SVD", k, "l", store=store, models=models)
+    kept = ModelStore(spark, str(tmp_path / "m")).load("l_svd")
+    assert np.array_equal(kept["basis"], found.factors.basis) and np.array_equal(kept["scale"], found.factors.scale)
+    near = tasks.similar_by_stored_model(store, models, "0", "l", "svd", k=4).collect()
+    reduced = X @ found.factors.basis.T
+    want = np.argsort(np.linalg.norm(reduced - reduced[0], axis=1))[:4]
+    assert [r["imageid"] for r in near] == [str(i) for i in want]
+
+
+def test_descriptors_are_folded_in_by_the_stored_codebook(spark, tmp_path):
+    store, models = FeatureStore(spark, str(tmp_path / "f")), ModelStore(spark, str(tmp_path / "m"))
+    rng = np.random.default_rng(5)
+    bags = [(str(i), p, [float(v) for v in rng.normal(size=4) + 6 * ((i + p * (i % 3)) % 4)]) for i in range(24) for p in range(10)]
+    store.upsert_descriptors(spark.createDataFrame(bags, "imageid string, pos int, vec array<double>"))
+    known = store.load_descriptors().where("imageid <> '5'")
+    found = latent_semantics(None, "svd", 3, "s", descriptors=known, store=store, words=8, models=models)
+    kept = models.load("s_svd")
+    d = {i: np.array([b[2] for b in bags if b[0] == str(i)]) for i in range(24)}
+
+    def reduced(i):
+        word = np.linalg.norm(d[i][:, None] - kept["codebook"][None], axis=2).argmin(1)
+        return np.bincount(word, minlength=8) / d[i].size @ kept["basis"].T
+
+    assert np.allclose(matrix(found.factors.reduced.unionByName(spark.createDataFrame([("5", [0.0] * 3)], "imageid string, vec array<double>")), 24)[0], reduced(0))
+    near = tasks.similar_by_stored_model(store, models, "5", "s", "svd", k=6).collect()
+    own = sorted((round(float(np.linalg.norm(reduced(i) - reduced(5))), 9), str(i)) for i in range(24))[:6]
+    assert near[0]["imageid"] == "5" and np.allclose([r["score"] for r in near], [x for x, _ in own], atol=1e-8)
+
+
+def test_a_stored_machine_decides_alike(spark, tmp_path):
+    models, rows = ModelStore(spark, str(tmp_path / "m")), table(spark, X)
+    meta = spark.createDataFrame([(str(i), str(i), "male" if i < 20 else "female", "dorsal", "left", "0") for i in range(40)], "subjectid string, image_id string, gender string, aspect string, orient string, accessories string")
+    first = {r["imageid"]: r["decision"] for r in tasks.classify_label(rows, meta, "male", models).collect()}
+    again = {r["imageid"]: r["decision"] for r in tasks.classify_by_stored(rows, models, "male").collect()}
+    assert first.keys() == again.keys() and all(np.isclose(first[i], again[i]) for i in first)

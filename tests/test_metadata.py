@@ -97,3 +97,53 @@ def test_reports(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "r")).first()[0] == "a: 0.5" and spark.read.json(str(tmp_path / "j")).count() == 1
     old = spark.createDataFrame([("x", [["1.0", "2.0"]])], "imageid string, image_data array<array<string>>")
     assert features.legacy_vectors(old).first()["vec"] == [1.0, 2.0]
+
+
+def test_store_rewrites_touched_buckets_only_and_vacuums(spark, tmp_path):
+    store = features.FeatureStore(spark, str(tmp_path / "s"), 4)
+    row = lambda *r: spark.createDataFrame(r, features.SCHEMA)
+    store.upsert(row(*((f"i{k}", [float(k)]) for k in range(40))), "l")
+    folder = tmp_path / "s/model=l/technique=-/label=-"
+    first = {p.name for p in folder.glob("v-*")}
+    store.upsert(row(("i7", [-1.0])), "l")
+    (second,) = {p.name for p in folder.glob("v-*")} - first
+    assert len(list((folder / second).glob("bucket=*"))) == 1  # one of four
+    assert {r["imageid"]: r["vec"][0] for r in features.FeatureStore(spark, str(tmp_path / "s"), 9).load("l").collect()} == {f"i{k}": -1.0 if k == 7 else float(k) for k in range(40)}
+    assert store.lookup("i7", "l").first()["vec"] == [-1.0] and len(store.lookup("i7", "l").inputFiles()) == 1
+    for k in range(3):
+        store.upsert(row(*((f"i{j}", [float(k)]) for j in range(40))), "l")
+    store.vacuum("l")
+    assert len(list(folder.glob("v-*"))) == 1 and len(list(folder.glob("current-*"))) == 1
+    store.upsert(row(("z", [0.0])), "l")
+    assert store.load("l").count() == 41
+    store.upsert(spark.createDataFrame([], features.SCHEMA), "l")
+    assert store.load("l").count() == 41
+
+
+def test_a_rename_happens_once(spark, tmp_path):
+    from vistaframe.storage import read_bytes, rename_once, write_bytes
+
+    a, b, to = (str(tmp_path / x) for x in ("a", "b", "in/c"))
+    write_bytes(spark, a, b"1")
+    write_bytes(spark, b, b"2")
+    assert rename_once(spark, a, to) and not rename_once(spark, b, to)
+    assert read_bytes(spark, to) == b"1" and not (tmp_path / "b").exists()
+
+
+def test_tasks_that_write(spark, tmp_path):
+    """Metadata from a file, one feature to a report, the report of latent semantics."""
+    from vistaframe.session import EngineConfig
+
+    lines = ["id,age,gender,skin,accessories,polish,aspectOfHand,imageName"] + [f"s{k},2{k},{'male' if k % 2 else 'female'},x,{k % 2},0,dorsal left,Hand_{k}.jpg" for k in range(4)]
+    (tmp_path / "m.csv").write_text("\n".join(lines))
+    for _ in range(2):  # loading twice changes nothing
+        tasks.load_metadata(spark, EngineConfig(metadata_csv=str(tmp_path / "m.csv")), str(tmp_path / "meta"))
+    meta = spark.read.parquet(str(tmp_path / "meta"))
+    assert meta.count() == 4 and meta.where("gender = 'male'").count() == 2 and meta.first()["aspect"] == "dorsal"
+    store = features.FeatureStore(spark, str(tmp_path / "s"))
+    store.upsert(spark.createDataFrame([(f"Hand_{k}", [float(k), 1.0, 2.0]) for k in range(4)], features.SCHEMA), "l")
+    assert tasks.fetch_feature(store, "Hand_2", "l", str(tmp_path / "one")).first()["vec"] == [2.0, 1.0, 2.0]
+    assert spark.read.json(str(tmp_path / "one")).first()["imageid"] == "Hand_2"
+    found = tasks.latent_semantics(store.load("l"), "svd", 2, "l")
+    tasks.save_report(found, str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r/images")).count() == 8 and spark.read.text(str(tmp_path / "r/features")).count() == 2

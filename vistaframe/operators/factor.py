@@ -112,6 +112,7 @@ def nmf(rows: DataFrame, k: int, key: str = "imageid", rounds: int = 30, steps:
         for _ in range(10):
             h = h * wx / np.maximum(ww @ h, 1e-12)
     basis = h
+    scaled.unpersist()
     return Factors(mapped(rows, lambda x: x @ basis.T, key), mapped(scaled, lambda x: _weights(x, basis, steps), key), basis, np.array(losses))
 
 
@@ -127,6 +128,7 @@ def lda(rows: DataFrame, k: int, key: str = "imageid", seed: int = 0, rounds: in
 TECHNIQUES = {"pca": pca, "svd": svd, "nmf": nmf, "lda": lda}
 
 
-def fold_in(rows: DataFrame, factors: Factors, key: str = "imageid") -> DataFrame:
-    """Vectors that were not in the fit, as dot products with the basis."""
-    return rows.select(key, V.projected(V.doubles(F.col("vec")), factors.basis.tolist()).alias("vec"))
+def fold_in(rows: DataFrame, basis: np.ndarray, key: str = "imageid") -> DataFrame:
+    """Vectors that were not in the fit, as dot products with the basis (of PCA too,
+    uncentred, as the behaviour matched has it)."""
+    return rows.select(key, V.projected(V.doubles(F.col("vec")), basis.tolist()).alias("vec"))

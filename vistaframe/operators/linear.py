@@ -21,12 +21,18 @@ from ..shipping import map_batches
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
-    """An Arrow list column of equal lengths as a matrix."""
+    """An Arrow list column as a matrix. Vectors of unequal lengths, or with null
+    elements, are an error: read as one run of numbers they would shift into others."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, -1) if n else flat.reshape(0, 0)
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a vector has a null element")
+    width = len(flat) // n if n else 0
+    if width * n != len(flat) or n and (column.value_lengths().to_numpy(zero_copy_only=False) != width).any():
+        raise ValueError("vectors of unequal lengths have no matrix")
+    return flat.to_numpy(zero_copy_only=False).reshape(n, width)
 
 
 class Sums(NamedTuple):
@@ -54,15 +60,18 @@ def gram_sums(rows: DataFrame, vec: str = "vec") -> Sums:
             gram = x.T @ x if gram is None else gram + x.T @ x
         if n:
             d = len(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 2), pa.int64()), pa.array([[float(n)], total.tolist(), *gram.tolist()], pa.list_(pa.float64()))], ["line", "x"])
+            lines = pa.array([[float(n)], total.tolist(), *gram.tolist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([d] * (d + 2), pa.int64()), pa.array(np.arange(d + 2), pa.int64()), lines], ["d", "line", "x"])
 
-    parts = map_batches(rows.select(V.doubles(F.col(vec)).alias("vec")).where(F.col("vec").isNotNull()), kernel, "line long, x array<double>")
-    lines = parts.select("line", F.posexplode("x").alias("pos", "x")).groupBy("line", "pos").agg(F.sum("x").alias("x")).collect()
+    parts = map_batches(rows.select(V.doubles(F.col(vec)).alias("vec")).where(F.col("vec").isNotNull()), kernel, "d long, line long, x array<double>")
+    lines = parts.select("d", "line", F.posexplode("x").alias("pos", "x")).groupBy("d", "line", "pos").agg(F.sum("x").alias("x")).collect()
     if not lines:
         return Sums(0, np.zeros(0), np.zeros((0, 0)))
-    d = max(r["line"] for r in lines) - 1
+    if len({r["d"] for r in lines}) > 1:
+        raise ValueError("vectors of unequal lengths have no matrix")
+    d = lines[0]["d"]
     n, mean, gram = 0, np.zeros(d), np.zeros((d, d))
-    for line, pos, x in lines:
+    for _, line, pos, x in lines:
         if line == 0:
             n = round(x)
         elif line == 1:

@@ -65,15 +65,21 @@ def fit_one_class(x: np.ndarray, nu: float = NU, gamma: float = GAMMA, tolerance
     return OneClass(x[used], a[used], rho, gamma)
 
 
-def classify(rows: DataFrame, labelled: DataFrame, dimensions: int = DIMENSIONS, nu: float = NU, gamma: float = GAMMA, most_rows: int = MOST_ROWS) -> tuple[DataFrame, OneClass]:
-    """(imageid, decision, inside) for all ``rows``, by the class of ``labelled``."""
+def classify(rows: DataFrame, labelled: DataFrame, dimensions: int = DIMENSIONS, nu: float = NU, gamma: float = GAMMA, most_rows: int = MOST_ROWS) -> tuple[DataFrame, OneClass, np.ndarray]:
+    """(imageid, decision, inside) for all ``rows`` by the class of ``labelled``, the machine and its components."""
     sample = labelled.orderBy(F.xxhash64("imageid"), "imageid").limit(most_rows).persist()
     factors = pca(sample, dimensions)
     basis = factors.basis
     fitted = np.array([r[0] for r in sample.select(V.projected(V.doubles(F.col("vec")), basis.tolist())).collect()], float)
+    sample.unpersist()
     model = fit_one_class(fitted, nu, gamma)
+    return decided(rows, model, basis), model, basis
+
+
+def decided(rows: DataFrame, model: OneClass, basis: np.ndarray) -> DataFrame:
+    """(imageid, decision, inside) of all rows."""
     scored = mapped(rows, lambda x: model.decision(x @ basis.T)[:, None])
-    return scored.select("imageid", F.get("vec", F.lit(0)).alias("decision"), (F.get("vec", F.lit(0)) >= 0).alias("inside")), model
+    return scored.select("imageid", F.get("vec", F.lit(0)).alias("decision"), (F.get("vec", F.lit(0)) >= 0).alias("inside"))
 
 
 def centroid_distances(rows: DataFrame, key: str = "imageid") -> DataFrame:

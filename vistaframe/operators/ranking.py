@@ -48,7 +48,6 @@ def top_loadings(rows: DataFrame, k: int = 5, key: str = "imageid", weights: str
 def best_for_each(rows: DataFrame, basis: Sequence[Sequence[float]], key: str = "imageid") -> DataFrame:
     """(semantic, key, score): the image with the greatest dot product with each basis vector, ties by key."""
     scores = rows.select(key, V.projected(F.col("vec"), basis).alias("s"))
-    long = loadings(scores, key, "s")
-    best = long.groupBy("semantic").agg(F.max("weight").alias("score"))
-    met = long.join(F.broadcast(best.select(F.col("semantic").alias("of"), "score")), (F.col("semantic") == F.col("of")) & (F.col("weight") == F.col("score")))
-    return met.groupBy("semantic", "score").agg(F.min(key).alias(key)).select("semantic", key, "score")
+    first = F.struct((-F.col("weight")).alias("least"), F.col(key).alias("of"))
+    best = loadings(scores, key, "s").where("weight is not null").groupBy("semantic").agg(F.min(first).alias("first"))
+    return best.select("semantic", F.col("first")["of"].alias(key), (-F.col("first")["least"]).alias("score"))

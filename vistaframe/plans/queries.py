@@ -514,7 +514,7 @@ def foldin_similarity(spark, sf_dir):
     rows = features(spark, sf_dir).select("imageid", "vec")
     fitted = rows.where("imageid <> 0")
     found = factor.svd(fitted, 4)
-    return tasks.similar_in_latent_space(found.reduced, 0, rows, found)
+    return tasks.similar_in_latent_space(found.reduced, 0, rows, found.basis)
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ from ..session import EngineConfig
 from ..sources import metadata
 from ..sources.features import MODELS, FeatureStore, check
 from ..sources.images import pixels, read_images
-from ..sources.reports import score_line, write_lines
+from ..sources.models import ModelStore, model_name
+from ..sources.reports import score_line, write_json, write_lines
+from ..storage import written
 
 
 def extract(images: DataFrame, model: str) -> DataFrame:
@@ -41,6 +44,22 @@ def load_metadata(spark: SparkSession, config: EngineConfig, path: str) -> None:
     metadata.save_metadata(metadata.parsed(metadata.read_raw(spark, config.metadata_csv)), path)
 
 
+def similar_by_stored_model(store: FeatureStore, models: ModelStore, image, model: str, technique: str, label: str | None = None, k: int = 11) -> DataFrame:
+    """The images most like one among stored reduced vectors, an image that is not
+    there folded in by the stored basis (and, for model ``s``, the stored codebook)."""
+    check(model, technique)
+    kept = models.load(model_name(model, technique, label))
+    if kept is None:
+        raise ValueError(f"no model {model_name(model, technique, label)!r} is stored")
+    reduced = store.load(model, technique, label)
+    if model == "s":
+        return similar_in_latent_space(reduced, image, None, kept["basis"], k, store.load_descriptors(), kept["codebook"])
+    rows = store.load(model)
+    if bool(kept["negated"]):
+        rows = rows.withColumn("vec", V.exp_negated(F.col("vec")))
+    return similar_in_latent_space(reduced, image, rows, kept["basis"], k)
+
+
 def similar_images(rows: DataFrame, image, model: str = "m", k: int = 5, descriptors: DataFrame | None = None, ratio: float = 0.8) -> DataFrame:
     """(imageid, score): the k images most like one. Descriptor bags (model ``s``) by
     the ratio test, descending; other models by cosine distance, ascending."""
@@ -51,12 +70,24 @@ def similar_images(rows: DataFrame, image, model: str = "m", k: int = 5, descrip
     return neighbours.nearest(rows, rows.where(F.col("imageid") == image), "cosine", k)
 
 
-def similar_in_latent_space(reduced: DataFrame, image, features: DataFrame | None = None, factors: factor.Factors | None = None, k: int = 11) -> DataFrame:
+def fetch_feature(store: FeatureStore, image: str, model: str, folder: str) -> DataFrame:
+    """(imageid, vec) of one image, also written to a report; of model ``s`` its
+    descriptors (imageid, pos, vec)."""
+    check(model)
+    found = store.load_descriptors().where(F.col("imageid") == image) if model == "s" else store.lookup(image, model)
+    write_json(found, folder)
+    return found
+
+
+def similar_in_latent_space(reduced: DataFrame, image, features: DataFrame | None = None, basis: np.ndarray | None = None, k: int = 11, descriptors: DataFrame | None = None, book: np.ndarray | None = None) -> DataFrame:
     """(imageid, score): nearest by Euclidean distance among reduced vectors, the query
-    included. An image that is not among them is folded in from its features."""
+    included. An image that is not among them is folded in by the ``basis`` from its
+    features or, with a codebook, from its descriptors."""
     own = reduced.where(F.col("imageid") == image)
-    if factors is not None and features is not None and own.limit(1).count() == 0:
-        own = factor.fold_in(features.where(F.col("imageid") == image), factors)
+    if basis is not None and own.limit(1).count() == 0:
+        if book is not None:
+            features = codebook.encode_by(descriptors.where(F.col("imageid") == image), book)
+        own = factor.fold_in(features.where(F.col("imageid") == image), basis)
         reduced = reduced.unionByName(own)
     return neighbours.nearest(reduced, own, "euclidean", k, include_query=True)
 
@@ -68,28 +99,33 @@ class LatentSemantics:
     factors: factor.Factors
 
 
-def latent_semantics(rows: DataFrame, technique: str, k: int, model: str = "m", label_ids: DataFrame | None = None, descriptors: DataFrame | None = None, negative: str = "exp", store: FeatureStore | None = None, label: str | None = None, words: int = codebook.WORDS) -> LatentSemantics:
-    """Reduce a feature table to k latent semantics, rank images by them, store the result.
+def latent_semantics(rows: DataFrame, technique: str, k: int, model: str = "m", label_ids: DataFrame | None = None, descriptors: DataFrame | None = None, negative: str = "exp", store: FeatureStore | None = None, label: str | None = None, words: int = codebook.WORDS, models: ModelStore | None = None) -> LatentSemantics:
+    """Reduce a feature table to k latent semantics, rank images by them, store the
+    reduced vectors (``store``) and the basis, scale and codebook (``models``).
 
     ``negative``: how the moments model is made non-negative before any technique:
     ``exp`` (1 / exp(x)) or ``none``. ``label_ids`` (imageid) restricts the images.
     """
     check(model, technique)
-    technique = technique.lower()
+    technique, book = technique.lower(), None
     if model == "s":
         descriptors = descriptors.join(label_ids, "imageid", "left_semi") if label_ids is not None else descriptors
-        rows = codebook.encode(descriptors, codebook.learn_codebook(descriptors, words))
+        book = np.array([c for c in codebook.learn_codebook(descriptors, words).clusterCenters()])
+        rows = codebook.encode_by(descriptors, book)
     elif label_ids is not None:
         rows = rows.join(label_ids, "imageid", "left_semi")
     rows = rows.select("imageid", V.doubles(F.col("vec")).alias("vec"))
     if model == "m" and negative == "exp":
         rows = rows.withColumn("vec", V.exp_negated(F.col("vec")))
-    rows = rows.persist()
+    rows = written(rows, "features")  # read by the fit and by each of the results
     found = factor.TECHNIQUES[technique](rows, k)
     images = ranking.ranked_loadings(found.ranking)
     best = ranking.best_for_each(rows, found.basis.tolist())
     if store is not None:
         store.upsert(found.reduced, model, technique, label_key(label) if label else None)
+    if models is not None:
+        more = {} if book is None else {"codebook": book}
+        models.save(model_name(model, technique, label), basis=found.basis, scale=found.scale, negated=np.array(model == "m" and negative == "exp"), **more)
     return LatentSemantics(images, best, found)
 
 
@@ -127,10 +163,22 @@ def metadata_semantics(onehot: DataFrame, k: int, names: list[str], key: str = "
     return ranking.ranked_loadings(found.ranking, key), ranking.ranked_loadings(features, "feature")
 
 
-def classify_label(rows: DataFrame, meta: DataFrame, label: str) -> DataFrame:
-    """(imageid, decision, inside) of all images by the one-class machine of a label."""
+def classify_label(rows: DataFrame, meta: DataFrame, label: str, models: ModelStore | None = None) -> DataFrame:
+    """(imageid, decision, inside) of all images by the one-class machine of a label,
+    which is stored under ``models``."""
     ids = metadata.with_label(metadata.unique_images(meta), label).select(F.col("image_id").alias("imageid"))
-    return oneclass.classify(rows, rows.join(ids, "imageid", "left_semi"))[0]
+    out, machine, basis = oneclass.classify(rows, rows.join(ids, "imageid", "left_semi"))
+    if models is not None:
+        models.save(f"one_class_{label_key(label)}", support=machine.support, alpha=machine.alpha, rho=np.array(machine.rho), gamma=np.array(machine.gamma), basis=basis)
+    return out
+
+
+def classify_by_stored(rows: DataFrame, models: ModelStore, label: str) -> DataFrame:
+    """The same of any images by a stored machine."""
+    kept = models.load(f"one_class_{label_key(label)}")
+    if kept is None:
+        raise ValueError(f"no machine of label {label!r} is stored")
+    return oneclass.decided(rows, oneclass.OneClass(kept["support"], kept["alpha"], float(kept["rho"]), float(kept["gamma"])), kept["basis"])
 
 
 def dataset_histograms(rows: DataFrame, bins: int = 10) -> DataFrame:

@@ -1,27 +1,32 @@
 """The feature store: one partitioned table in place of a table for each name.
 
 ``features(model, technique, label, k, imageid, vec)`` lies in folders by
-model, technique and label; a scan of one of them prunes the rest. An upsert
-writes a new version of the partition beside the old one, then renames a file
-that names it into place, so readers see the old rows or the new, never half of
-them, and a crash on the way changes nothing.
+model, technique and label; a scan of one of them prunes the rest. Rows of a
+folder are dealt to buckets by a hash of imageid. An upsert writes new versions
+of the buckets it touches beside the old ones, then renames into place a file
+that names the version of every bucket, so readers see the old rows or the new,
+never half of them, and a crash on the way changes nothing. A lookup reads one
+bucket. ``vacuum`` removes versions that no longer count.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import label_key, vector_from_text, vector_to_text
-from ..storage import file_system
+from ..storage import delete, discard, names_in, read_bytes, rename_once, write_bytes, written
 
 MODELS = ("m", "s", "h", "l")
 TECHNIQUES = ("pca", "svd", "nmf", "lda")
 NONE = "-"
 SCHEMA = "imageid string, vec array<double>"
 BAG_SCHEMA = "imageid string, pos int, vec array<double>"
+#: Of a folder that is new; a folder keeps the number it began with.
+BUCKETS = 16
 
 
 def check(model: str, technique: str | None = None) -> None:
@@ -38,61 +43,87 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "imageid") -> DataFrame:
 
 
 class FeatureStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """``buckets``: into how many parts a new folder's rows are dealt. An upsert rewrites
+    the parts it touches, so choose it by the table's size (a part of 1 GB, say)."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _folder(self, model: str, technique: str | None, label: str | None) -> str:
         check(model, technique)
         return f"{self.path}/model={model}/technique={(technique or NONE).lower()}/label={label_key(label) if label else NONE}"
 
-    def _pointers(self, folder: str) -> list[str]:
-        """Files that name a version, the newest last."""
-        at, files = file_system(self.spark, folder)
-        if not files.exists(at):
-            return []
-        return sorted(n for x in files.listStatus(at) if (n := str(x.getPath().getName())).startswith("current-"))
-
-    def _current(self, folder: str) -> str | None:
-        found = self._pointers(folder)
-        return f"{folder}/{self.spark.read.text(f'{folder}/{found[-1]}').first()[0]}" if found else None
-
-    def _read(self, folder: str, schema: str) -> DataFrame:
-        at = self._current(folder)
-        return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
-
-    def _switch(self, folder: str, rows: DataFrame) -> None:
-        """Write a new version and make it the current one."""
-        version, number = f"v-{uuid.uuid4().hex}", len(self._pointers(folder))
-        rows.write.parquet(f"{folder}/{version}")
-        aside, files = file_system(self.spark, f"{folder}/.{version}")
-        out = files.create(aside, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        target, _ = file_system(self.spark, f"{folder}/current-{number:012d}")
-        if files.exists(target) or not files.rename(aside, target):
-            raise RuntimeError(f"another writer has changed {folder}; upsert again")
+    def _current(self, folder: str) -> tuple[int, int, dict[int, str]]:
+        """(number of the newest pointer or -1, number of buckets, version of each bucket)."""
+        found = [n for n in names_in(self.spark, folder) if n.startswith("current-")]
+        if not found:
+            return -1, self.buckets, {}
+        told = json.loads(read_bytes(self.spark, f"{folder}/{found[-1]}"))
+        return int(found[-1].removeprefix("current-")), told["buckets"], {int(b): v for b, v in told["versions"].items()}
+
+    def _read(self, folder: str, schema: str, versions: dict[int, str], only: list[int] | None = None) -> DataFrame:
+        paths = [f"{folder}/{v}/bucket={b}" for b, v in sorted(versions.items()) if only is None or b in only]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64("imageid"), F.lit(buckets)).cast("int")
+
+    def _replace(self, folder: str, schema: str, new: DataFrame) -> None:
+        """Put ``new`` in place of all rows of its imageids."""
+        number, buckets, versions = self._current(folder)
+        new = written(new, "upsert")
+        touched = [r[0] for r in new.select(self._bucket(buckets)).distinct().collect()]
+        if touched:
+            ids = new.select("imageid").distinct()
+            old = self._read(folder, schema, versions, touched).join(ids, "imageid", "left_anti")
+            rows = new.unionByName(old).withColumn("bucket", self._bucket(buckets))
+            version = f"v-{uuid.uuid4().hex}"
+            rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/{version}")
+            told = json.dumps({"buckets": buckets, "versions": versions | dict.fromkeys(touched, version)})
+            write_bytes(self.spark, f"{folder}/.{version}", told.encode())
+            if not rename_once(self.spark, f"{folder}/.{version}", f"{folder}/current-{number + 1:012d}"):
+                delete(self.spark, f"{folder}/{version}")
+                raise RuntimeError(f"another writer has changed {folder}; upsert again")
+        discard(new)
 
     def load(self, model: str, technique: str | None = None, label: str | None = None) -> DataFrame:
         """(imageid, vec); no rows if nothing was stored."""
-        return self._read(self._folder(model, technique, label), SCHEMA)
+        folder = self._folder(model, technique, label)
+        return self._read(folder, SCHEMA, self._current(folder)[2])
 
     def upsert(self, rows: DataFrame, model: str, technique: str | None = None, label: str | None = None) -> None:
         """Insert or replace by imageid; of rows with one imageid the least vector stays."""
         new = rows.select(F.col("imageid").cast("string"), F.col("vec").cast("array<double>")).groupBy("imageid").agg(F.min("vec").alias("vec"))
-        self._switch(self._folder(model, technique, label), upserted(self.load(model, technique, label), new))
+        self._replace(self._folder(model, technique, label), SCHEMA, new)
+
+    def _bags(self) -> str:
+        return f"{self._folder('s', None, None)}/bags"
 
     def load_descriptors(self) -> DataFrame:
         """(imageid, pos, vec) of the descriptor bags, model ``s``."""
-        return self._read(f"{self._folder('s', None, None)}/bags", BAG_SCHEMA)
+        return self._read(self._bags(), BAG_SCHEMA, self._current(self._bags())[2])
 
     def upsert_descriptors(self, rows: DataFrame) -> None:
         """Insert or replace whole bags by imageid."""
-        new = rows.select(F.col("imageid").cast("string"), F.col("pos").cast("int"), F.col("vec").cast("array<double>"))
-        old = self.load_descriptors().join(new.select("imageid").distinct(), "imageid", "left_anti")
-        self._switch(f"{self._folder('s', None, None)}/bags", new.unionByName(old))
+        self._replace(self._bags(), BAG_SCHEMA, rows.select(F.col("imageid").cast("string"), F.col("pos").cast("int"), F.col("vec").cast("array<double>")))
+
+    def vacuum(self, model: str, technique: str | None = None, label: str | None = None) -> None:
+        """Remove versions and pointers that the newest pointer has replaced. Not while
+        others read older ones or write."""
+        own = self._folder(model, technique, label)
+        for folder in (own, f"{own}/bags"):
+            number, _, versions = self._current(folder)
+            stays = {*versions.values(), f"current-{number:012d}"}
+            for name in names_in(self.spark, folder):
+                if name.startswith(("v-", ".v-", "current-")) and name not in stays:
+                    delete(self.spark, f"{folder}/{name}")
 
     def lookup(self, imageid: str, model: str, technique: str | None = None, label: str | None = None) -> DataFrame:
-        return self.load(model, technique, label).where(F.col("imageid") == imageid)
+        """The row of one image, from the one bucket that can hold it."""
+        folder = self._folder(model, technique, label)
+        _, buckets, versions = self._current(folder)
+        one = self.spark.range(1).select(F.lit(imageid).cast("string").alias("imageid"))
+        return self._read(folder, SCHEMA, versions, [one.select(self._bucket(buckets)).first()[0]]).where(F.col("imageid") == imageid)
 
     def known(self, ids: DataFrame, model: str, **which) -> DataFrame:
         return ids.join(self.load(model, **which).select("imageid"), "imageid", "left_semi")
