@@ -63,3 +63,55 @@ def test_odd_rows(docs_of):
     assert sorted(r["bpe"] for r in rows) == sorted(n_bpe(t) for _, t in ODD)
     assert sorted(r["words"] for r in rows) == sorted(len((t or "").split()) for _, t in ODD)
     assert count_tokens(docs_of([])).count() == 0
+
+
+def deltas(spark, n, tokens):
+    return spark.createDataFrame([("s", "en", "v", n, tokens)], "source string, lang string, version string, n_docs long, n_tokens long")
+
+
+def test_commits_and_compactions_run_beside_each_other(spark, tmp_path, monkeypatch):
+    """A batch committed while compaction lists or writes, and a second compactor that wins."""
+    from vistaframe.llm import token_rollup
+
+    path = str(tmp_path / "r")
+    rollup, other = TokenRollup(spark, path), TokenRollup(spark, path)
+    rollup.commit("a", deltas(spark, 1, 5))
+    names, rename = token_rollup.names_in, token_rollup.rename_once
+    late = iter([lambda: other.commit("b", deltas(spark, 1, 7))])
+
+    def listed(session, folder):
+        found = names(session, folder)
+        for act in late:
+            act()
+        return found
+
+    monkeypatch.setattr(token_rollup, "names_in", listed)  # b comes in after the batches were listed
+    assert rollup.compact()
+    assert totals(other) == {("s", "en", "v"): (2, 12)}
+
+    late_too = iter([lambda: (other.commit("c", deltas(spark, 1, 11)), other.compact())])
+
+    def renamed(session, source, target):
+        if "/snapshots/" in target:
+            for act in late_too:
+                act()
+        return rename(session, source, target)
+
+    monkeypatch.setattr(token_rollup, "rename_once", renamed)  # another compactor is first
+    assert not rollup.compact()
+    assert totals(rollup) == {("s", "en", "v"): (3, 23)}
+    for _ in range(3):
+        assert rollup.compact()
+        assert totals(rollup) == {("s", "en", "v"): (3, 23)}
+    assert not any(rollup.commit(b, deltas(spark, 1, 1)) for b in "abc")
+    assert len(names(spark, f"{path}/snapshots")) == 2  # the newest and the one before
+    assert not (tmp_path / "r/batches/a/sums").exists() and (tmp_path / "r/batches/a").exists()
+
+
+def test_readers_of_the_state_before_are_served(spark, tmp_path):
+    rollup = TokenRollup(spark, str(tmp_path / "r"))
+    rollup.commit("a", deltas(spark, 1, 5))
+    before = rollup.totals()
+    rollup.commit("b", deltas(spark, 1, 7))
+    rollup.compact()
+    assert before.first()["n_tokens"] == 5 and totals(rollup) == {("s", "en", "v"): (2, 12)}

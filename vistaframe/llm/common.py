@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,52 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names none (tests, a laptop) is one made; it is
-    then also set on the context, so that ``checkpoint()`` finds it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    made = tempfile.mkdtemp(prefix="vistaframe-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session, and often the folder, is gone by then
-        pass
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, asked of the file system that holds it."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back.
-
-    It cuts the lineage as ``checkpoint()`` does, but columnar and compressed:
-    later reads prune columns, and no executor's loss can take it away. The
-    folder is removed when the interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(remove_path, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def column(name: str) -> Column:
     """A column by its very name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

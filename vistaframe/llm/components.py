@@ -9,20 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..storage import discard, written
 
 
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, label) for every node of ``edges`` (u, v): the least node it reaches."""
     both = edges.select("u", "v").where("u <> v")
-    both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
+    both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    labels = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
+    held = labels
     for _ in range(most_rounds):
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
         new = labels.join(near, labels["node"] == near["u"]).select("node", "label", F.least("label", "near").alias("to"))
         ahead = labels.select(F.col("node").alias("at"), F.col("label").alias("ahead"))
-        step = materialize(new.join(ahead, new["to"] == ahead["at"]).select("node", F.least("to", "ahead").alias("new"), F.col("label").alias("old")), "labels")
-        labels = step.select("node", F.col("new").alias("label"))
+        step = written(new.join(ahead, new["to"] == ahead["at"]).select("node", F.least("to", "ahead").alias("new"), F.col("label").alias("old")), "labels")
+        discard(held)  # nothing reads the round before
+        held, labels = step, step.select("node", F.col("new").alias("label"))
         if not step.where("new <> old").limit(1).count():
+            discard(both)
             return labels
     raise RuntimeError("components did not settle")

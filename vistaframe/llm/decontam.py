@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ascii_lower, column, materialize, table, words_of
+from ..storage import written
+from .common import NOT_ALNUM, ascii_lower, column, table, words_of
 from .lets import indices, let
 
 WINDOW, FIRST = 10, 4
@@ -64,7 +65,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep:
     start and length in words, ascending), items (distinct ids of items with
     occurring windows, sorted as strings). Without ``every``, documents no window
     of which passes the bitmap have no row."""
-    windows = materialize(bench_windows(benchmark, window), "windows")
+    windows = written(bench_windows(benchmark, window), "windows")
     sizes = windows.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.octet_length("window") + 16 * F.size("items") + 64).alias("bytes")).collect()
     lengths, total = sorted(r["length"] for r in sizes), sum(r["n"] for r in sizes)
     small = sum(r["bytes"] for r in sizes) <= max_broadcast_mb * 1e6
@@ -107,7 +108,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     Rows are told apart by doc_id and text: one with a hit takes no other text along.
     What goes is broadcast up to ``MAX_BROADCAST_ROWS``, so texts stay where they are."""
     bad = find_hits(docs.select("doc_id", "text", digest().alias("__digest")), benchmark, window, ("doc_id", "__digest"), every=False)
-    bad = materialize(bad.where(F.size("hits") > 0).select(F.col("doc_id").alias("__of"), F.col("__digest").alias("__at")).distinct(), "contaminated")
+    bad = written(bad.where(F.size("hits") > 0).select(F.col("doc_id").alias("__of"), F.col("__digest").alias("__at")).distinct(), "contaminated")
     if bad.count() <= MAX_BROADCAST_ROWS:  # of two longs each
         bad = F.broadcast(bad)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__of"]) & (digest() == bad["__at"]), "left_anti")

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import map_batches
-from .common import materialize, table
+from ..storage import written
+from .common import table
 from .tokens import VOCABULARY, ids_of, vocabulary_path
 
 SIZE, WINDOWS, FAN_IN, END_ID = 1024, 64, 256, 0
@@ -171,7 +172,7 @@ def pack(docs: DataFrame, size: int = SIZE, windows: int = WINDOWS, fan_in: int
     """Packed pieces of all documents: doc_id, start, length, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    state = materialize(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _first(size, windows, vocabulary, with_ids), SCHEMA), "packed")
+    state = written(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _first(size, windows, vocabulary, with_ids), SCHEMA), "packed")
     done = [state.where(~F.col("open"))]
     parts = int(state.agg(F.coalesce(F.max("part"), F.lit(-1))).first()[0]) + 1
     level = 0
@@ -183,7 +184,7 @@ def pack(docs: DataFrame, size: int = SIZE, windows: int = WINDOWS, fan_in: int
         if parts == 1:
             done.append(packed)
             break
-        state = materialize(packed, "packed")
+        state = written(packed, "packed")
         done.append(state.where(~F.col("open")))
     out = done[0]
     for more in done[1:]:

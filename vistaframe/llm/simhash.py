@@ -44,7 +44,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import map_batches
-from .common import column, materialize, shuffles, table
+from ..storage import written
+from .common import column, shuffles, table
 from .components import components
 from .similar import Wider, grouped, least_hashes, similar_links, sketch_of, with_bands
 
@@ -287,18 +288,18 @@ def link_fingerprints(fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataF
 
 def _classes(docs: DataFrame, max_bits: int, shingle: int, wider: Wider | None, name: Column, noded: bool) -> DataFrame:
     """The rows of ``fingerprints`` and ``named``: the least ``name`` of each row's component."""
-    rows = materialize(fingerprints(docs, shingle, sketched=wider is not None, noded=noded), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min(name).alias("least")), "distinct")
+    rows = written(fingerprints(docs, shingle, sketched=wider is not None, noded=noded), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min(name).alias("least")), "distinct")
     links = link_fingerprints(distinct.select("fp"), distinct.count(), max_bits)
     if wider:
-        links = similar_links(docs.select(node_of(), "text"), rows, materialize(links, "links"), wider, shingle)
+        links = similar_links(docs.select(node_of(), "text"), rows, written(links, "links"), wider, shingle)
     labels = components(links)
     of = distinct.join(labels, distinct["fp"] == labels["node"]).select("fp", "label", "least")
     named = of.groupBy("label").agg(F.min("least").alias("named"))
     linked = of.join(named, "label").select("fp", "named")
     # a table of its own, so that the last join has an exchange on either side and adaptive
     # execution may split a fingerprint that many copies share
-    known = materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("named")), "known")
+    known = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("named")), "known")
     return rows.join(known, "fp", "left").select("doc_id", *(["node"] if noded else []), "fp", "named")
 
 
@@ -317,7 +318,7 @@ def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int
     found = _classes(docs, max_bits, shingle, wider, first, True)
     stays = F.col("doc_id").eqNullSafe(F.col("named")["doc_id"]) & (F.col("node") == F.col("named")["node"])
     keys = found.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), stays.alias("__stays"))
-    keys = materialize(keys.groupBy("__id", "__node", "__stays").agg(F.count("*").alias("__n")).where("not __stays or __n > 1"), "components")
+    keys = written(keys.groupBy("__id", "__node", "__stays").agg(F.count("*").alias("__n")).where("not __stays or __n > 1"), "components")
     n = keys.count()
     few = F.broadcast if n <= MAX_BROADCAST_ROWS else lambda df: df  # of two longs each
     met = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (node_of() == F.col("__node"))

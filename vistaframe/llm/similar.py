@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_batches
-from .common import materialize, shuffles
+from ..storage import discard, written
+from .common import shuffles
 from .components import components
 
 BANDS, ROWS, SLOTS, LEAST_EQUAL = 40, 5, 64, 28
@@ -131,27 +132,29 @@ def similar_links(texts: DataFrame, rows: DataFrame, links: DataFrame, wider: Wi
     """``links`` (u, v) of fingerprints, and more, so that all texts of the similarity
     are joined. ``texts``: (node, text); ``rows``: (fp, node, sketch, bands)."""
     few = lambda df, n: F.broadcast(df) if n <= MAX_BROADCAST_PAIRS else df  # noqa: E731  of four longs each
-    own = materialize(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "sketch", "bands"))), "texts")
+    own = written(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "sketch", "bands"))), "texts")
     tested = None
     for first_only in (True, False):
         labels = components(links)
         of = own.join(labels.withColumnRenamed("node", "at"), F.col("fp") == F.col("at"), "left").select("node", "fp", F.coalesce("label", "fp").alias("label"), "sketch", "bands")
-        of = materialize(of, "labelled")
+        of = written(of, "labelled")
         dealt = of.select("node", "label", F.explode("bands").alias("key"))
         mixed = dealt.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        met = materialize(dealt.join(mixed, "key", "left_semi").select("key", "node"), "met")
+        met = written(dealt.join(mixed, "key", "left_semi").select("key", "node"), "met")
         buckets = met.join(of.select("node", "fp", "label", "sketch"), "node").select("key", "node", "fp", "label", "sketch")
         buckets = buckets.repartition(max(shuffles(rows.sparkSession), 8), "key").sortWithinPartitions("key")
-        pairs = materialize(map_batches(buckets, _pairs(first_only), "a long, b long, u long, v long").distinct(), "pairs")
+        pairs = written(map_batches(buckets, _pairs(first_only), "a long, b long, u long, v long").distinct(), "pairs")
         if tested is not None:
-            pairs = materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            pairs = written(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        discard(met)
+        discard(of)
         tested, n = pairs, pairs.count()
         if not n:
             continue
-        sides = materialize(pairs.select(F.col("a").alias("node"), "a", "b", "u", "v").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "u", "v")), "sides")
+        sides = written(pairs.select(F.col("a").alias("node"), "a", "b", "u", "v").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "u", "v")), "sides")
         wanted = texts.join(few(sides.select("node").distinct(), n), "node", "left_semi").dropDuplicates(["node"])
         told = wanted.join(few(sides, n), "node").select("a", "b", "u", "v", "text")
         told = told.repartition(max(shuffles(rows.sparkSession), 8), "a", "b").sortWithinPartitions("a", "b")
         found = map_batches(told, _verify(wider.similarity, shingle), "u long, v long")
-        links = links.unionByName(materialize(found, "similar"))
+        links = links.unionByName(written(found, "similar"))
     return links

@@ -17,6 +17,7 @@ ignored.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import map_batches
-from .common import shared_dir, table
+from ..storage import delete, shared_dir
+from .common import table
 from .tokens import VOCABULARY, ids_of, vocabulary_path
 
 SIZE, END_ID, CHUNK_TOKENS = 2048, 50256, 1 << 22
@@ -135,5 +137,7 @@ def write_packed(docs: DataFrame, path: str, **options) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = write_packed(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}")
+    folder = f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, folder)
+    rows = write_packed(table(spark, sf_dir, "documents"), folder)
     return rows.select("sequence_id", "n_tokens", F.crc32("input_ids").alias("row_crc32"), F.octet_length("input_ids").alias("row_bytes"), "cu_seqlens", "position_resets", "doc_ids", "starts")
