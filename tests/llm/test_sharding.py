@@ -57,3 +57,18 @@ def test_few_wishes_among_many_rows_are_heard(spark):
     for r in propagate(cells, 10_000_000, 8).collect():
         found[bytes(r["key"])].add(r["label"])
     assert all(len(s) == 1 for s in found.values())
+
+
+def test_query_returns_the_contract(spark, sf):
+    import zlib
+    from collections import Counter
+
+    from vistaframe.llm.queries import QUERIES
+
+    rows = QUERIES["op10_sharding"](spark, sf).collect()
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t) + 8, zlib.crc32(t)) for i, t in docs.items()}
+    assert len(rows) == len(docs) and {r["law"] for r in rows} == {"rows"} and {r["grown_shard"] for r in rows} == {None}
+    counts = Counter(r["shard"] for r in rows)
+    assert set(counts) <= set(range(24)) and max(counts.values()) - min(counts.get(s, 0) for s in range(24)) <= 1
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(24) for k in range(counts.get(s, 0))]

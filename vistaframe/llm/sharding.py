@@ -18,7 +18,8 @@ What reaches the driver: counts by shard and pairs of shards, no rows.
 
 Defined results: a null text counts as empty, of size 8, and all empty texts
 are linked; null and repeated doc_ids are rows like any other; an empty table
-gives no rows; further columns are not carried.
+gives no rows; very long texts count whole, by size and hash; ties go by hashes of the
+text and of the row; further columns are not carried.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from ..storage import discard, written
+from .common import table
 
 SHARDS, ROUNDS, FILL = 24, 12, 0.98
-PER_BUCKET, MOST_BUCKETS = 50_000, 4096
+PER_BUCKET, MAX_BROADCAST_ROWS = 50_000, 1_000_000
 
 
 def _share(*parts: Column) -> Column:
@@ -57,7 +59,7 @@ def grants(load: list[int], wishes: dict[tuple[int, int], int], most: float) ->
 
 def propagate(cells: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Labels for ``cells`` (key, init, n), the linked ones only: (key, init, label, n)."""
-    state = materialize(cells.select("key", "init", F.col("init").alias("label"), "n"), "cells")
+    state = written(cells.select("key", "init", F.col("init").alias("label"), "n"), "cells")
     most = FILL * total / shards
     for turn in range(rounds):
         load = [0] * shards
@@ -69,7 +71,7 @@ def propagate(cells: DataFrame, total: int, shards: int = SHARDS, rounds: int =
         liking = F.struct("votes", _of(free, F.col("target"), "boolean").alias("free"), _share(F.col("k"), F.col("target")).alias("tie"), "target")
         seen = state.join(votes, state["key"] == votes["k"]).where((F.col("target") == F.col("label")) | _of(free, F.col("target"), "boolean"))
         wish = seen.groupBy("key", "init", "label", "n").agg(F.max(liking)["target"].alias("wish"), F.sum("votes").alias("all"))
-        wish = materialize(wish.select("key", "init", "label", "n", "wish", "all"), "wishes")
+        wish = written(wish.select("key", "init", "label", "n", "wish", "all"), "wishes")
         wishes = {(a, b): n for a, b, n in wish.where("wish <> label").groupBy("label", "wish").agg(F.sum("n")).collect()}
         if not wishes:
             return state
@@ -77,7 +79,9 @@ def propagate(cells: DataFrame, total: int, shards: int = SHARDS, rounds: int =
         # texts that would fill much of a shard are granted cell by cell
         apart = F.when(F.col("all") > most / 8, F.col("init")).otherwise(F.lit(-1))
         go = (F.col("wish") != F.col("label")) & (_share(F.col("key"), apart, F.col("wish"), F.lit(turn)) < _of(part, F.col("wish"), "double"))
-        state = materialize(wish.select("key", "init", F.when(go, F.col("wish")).otherwise(F.col("label")).alias("label"), "n"), "cells")
+        before, state = state, written(wish.select("key", "init", F.when(go, F.col("wish")).otherwise(F.col("label")).alias("label"), "n"), "cells")
+        discard(before)
+        discard(wish)
     return state
 
 
@@ -85,16 +89,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str
     """(doc_id, size, text_crc32, shard, slot, linked) for every row."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.unhex(F.md5(t)).alias("key"), F.monotonically_increasing_id().alias("row"))
-    rows = materialize(rows.withColumn("init", F.pmod(F.xxhash64("row", "doc_id"), F.lit(shards)).cast("int")), "rows")
+    rows = written(rows.withColumn("init", F.pmod(F.xxhash64("row", "doc_id"), F.lit(shards)).cast("int")), "rows")
     total = rows.count()
     cells = rows.groupBy("key", "init").agg(F.count("*").alias("n"))
     many = cells.groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select(F.col("key").alias("k"))
     labels = propagate(cells.join(many, F.col("key") == F.col("k"), "left_semi"), total, shards, rounds)
     at = labels.select(F.col("key").alias("k"), F.col("init").alias("i"), "label")
-    buckets = min(MOST_BUCKETS, -(-total // (shards * PER_BUCKET)) or 1)
+    buckets = -(-total // (shards * PER_BUCKET)) or 1
     linked = F.col("label").isNotNull()
     placed = rows.join(at, (rows["key"] == at["k"]) & (rows["init"] == at["i"]), "left")
-    placed = materialize(placed.select("doc_id", "size", "text_crc32", "row", linked.alias("linked"), F.coalesce("label", "init").alias("label"), F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int").alias("bucket")), "placed")
+    placed = written(placed.select("doc_id", "size", "text_crc32", "row", linked.alias("linked"), F.coalesce("label", "init").alias("label"), F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int").alias("bucket")), "placed")
 
     counts = placed.groupBy("label", "linked", "bucket").agg(F.count("*").alias("n"))
     load = [0] * shards
@@ -108,9 +112,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str
     given = [sum(surplus[:s]) for s in range(shards)]
     taken = [sum(lack[:s]) for s in range(shards)]
 
-    # at most 2 * shards * MOST_BUCKETS rows, whatever the input
+    # 2 * shards * buckets rows at most
     before = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("linked", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(counts.select(F.col("label").alias("l"), F.col("linked").alias("k"), F.col("bucket").alias("b"), before.alias("before")))
+    offsets = counts.select(F.col("label").alias("l"), F.col("linked").alias("k"), F.col("bucket").alias("b"), before.alias("before"))
+    if 2 * shards * buckets <= MAX_BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     ranked = placed.withColumn("within", F.row_number().over(Window.partitionBy("label", "linked", "bucket").orderBy("row")) - 1)
     ranked = ranked.join(offsets, (F.col("label") == F.col("l")) & (F.col("linked") == F.col("k")) & (F.col("bucket") == F.col("b")))
     rank = F.col("before") + F.col("within")
