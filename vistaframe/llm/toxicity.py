@@ -21,8 +21,10 @@ Everything else runs over all whole texts, row by row, without a shuffle.
 Labels, lang, source and doc_id are no inputs of a score. Rows with
 ``crc32(doc_id as text) % 5 = 0`` are held out of the fit, and null ids too.
 
-Defined results: a null or empty text has no sentence and scores 0; a doc_id
-labelled both ways, or with null, is not used; repeated rows score alike;
+Defined results: a null or empty text has no sentence and scores 0; a very long
+text is scored whole, and by its most harmful passage, so harmless sentences add
+nothing however many they are; of rows of one doc_id the fit takes the least text;
+ties in the sample go by doc_id; a doc_id labelled both ways, or with null, is not used; repeated rows score alike;
 without any usable label of both kinds all scores are 0; an empty table gives
 no rows; ``keep`` names the columns to carry.
 """
@@ -36,7 +38,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,44 +86,41 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate:
     """
     if len(set(labels)) < 2:
         return Model({}, {}, -np.inf)
-    tokens = [tokens_of(t) for t in texts]
-    y = np.array(labels, float)
+    # a token is held as text once; documents are arrays of numbers
+    of: dict[str, int] = {}
+    docs = [np.fromiter((of.setdefault(t, len(of)) for t in tokens_of(text)), np.int32) for text in texts]
+    tokens, y = list(of), np.array(labels, float)
     # a weight at or above zero needs a feature that toxic documents have more often
     lift = LEAST_LIFT * y.sum() / (len(y) - y.sum())
     often: Counter[str] = Counter()
-    for own, label in zip(tokens, labels, strict=True):
+    for own, label in zip(docs, labels, strict=True):
         if label:
-            often.update({f for t in set(own) for f in features_of(t)})
+            often.update({f for t in np.unique(own) for f in features_of(tokens[t])})
     often = Counter({f: n for f, n in often.items() if n >= LEAST_DOCS})
-    of: dict[str, list[str]] = {}
-    for own in tokens:
-        for t in own:
-            if t not in of:
-                of[t] = [f for f in features_of(t) if f in often]
+    had = [[f for f in features_of(t) if f in often] for t in tokens]
     seldom: Counter[str] = Counter()
-    for own, label in zip(tokens, labels, strict=True):
+    for own, label in zip(docs, labels, strict=True):
         if not label:
-            seldom.update({f for t in set(own) for f in of[t]})
+            seldom.update({f for t in np.unique(own) for f in had[t]})
     known = {f: k for k, f in enumerate(sorted(f for f, n in often.items() if n >= lift * seldom[f]))}
-    slots = {t: [known[f] for f in fs if f in known] for t, fs in of.items()}
-    stops = {t for t in of if STOP.search(t)}
+    slots = [np.array([known[f] for f in fs if f in known], np.int32) for fs in had]
+    width = np.array([len(k) for k in slots], int)
+    stops = np.array([bool(STOP.search(t)) for t in tokens], bool)
     # sentences without a feature are alike: each document counts its own
-    x, s, doc, plain = [], [], [], np.zeros(len(y))
-    for d, own in enumerate(tokens):
-        now, any_token = [], False
-        for t in [*own, None]:
-            if t is not None:
-                any_token = True
-                now += slots[t]
-            if any_token and (t is None or t in stops):
-                if now:
-                    x += now
-                    s += [len(doc)] * len(now)
-                    doc.append(d)
-                else:
-                    plain[d] += 1
-                now, any_token = [], False
-    x, s, doc, n = np.array(x, int), np.array(s, int), np.array(doc, int), len(doc)
+    x, s, doc, plain, n = [], [], [], np.zeros(len(y)), 0
+    for d, own in enumerate(docs):
+        if not len(own):
+            continue
+        sentence = np.concatenate([[0], np.cumsum(stops[own])[:-1]])
+        hit = width[own] > 0
+        used, at = np.unique(np.repeat(sentence[hit], width[own[hit]]), return_inverse=True)
+        if len(used):
+            x.append(np.concatenate([slots[t] for t in own[hit]]))
+            s.append(at + n)
+            doc.append(np.full(len(used), d))
+        plain[d] = sentence[-1] + 1 - len(used)
+        n += len(used)
+    x, s, doc = (np.concatenate(v).astype(int) if v else np.zeros(0, int) for v in (x, s, doc))
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels weigh alike
     w, b, seen_w, seen_b = np.zeros(len(known)), BIAS, np.full(len(known), 1e-8), 1e-8
     for turn in range(1, rounds + 1):
@@ -206,18 +205,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     """The bounded sample: texts and labels, both held-out rows and ids labelled both ways apart."""
     free = labels.where(~held_out())
     one = free.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most and toxic in (0, 1)")
-    chosen = None
-    for label in (0, 1):
-        part = one.where(F.col("toxic") == label).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # 4 * per_class ids at most; some have no document, or a longer one
-    met = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    texts, toxic = [], []
-    for label in (0, 1):
-        rows = met.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("text").collect()
-        texts += [r[0] for r in rows]
-        toxic += [label] * len(rows)
-    return texts, toxic
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ranked = lambda rows: rows.withColumn("nth", F.row_number().over(Window.partitionBy("toxic").orderBy(*order)))
+    chosen = ranked(one).where(F.col("nth") <= 2 * per_class).select("doc_id", "toxic")
+    # 4 * per_class ids at most; some have no document, or a longer one. One scan finds both labels
+    met = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+    met = ranked(met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))).where(F.col("nth") <= per_class)
+    rows = met.orderBy("toxic", *order).select("text", "toxic").collect()
+    return [r[0] for r in rows], [r[1] for r in rows]
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), locate: bool = False) -> DataFrame:
