@@ -13,12 +13,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaframe.llm.common import remove_path, shared_dir, table
+from vistaframe.llm.common import table
 from vistaframe.llm.decontam import decontaminate
 from vistaframe.llm.packing import pack
 from vistaframe.llm.secrets import redact_secrets
 from vistaframe.llm.simhash import Wider, drop_near_duplicates
 from vistaframe.llm.toxicity import drop_toxic
+from vistaframe.storage import delete, shared_dir
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's table goes to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    atexit.register(remove_path, spark, folder)
+    atexit.register(delete, spark, folder)
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
