@@ -236,3 +236,29 @@ def test_query_returns_the_contract(spark, sf):
                 a, b = sorted((root(i), root(j)))
                 label[b] = a
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in rows.items()} == {i: (f"{fps[i]:016x}", root(i)) for i in ids}
+
+
+@pytest.mark.parametrize("per_block", [1 << 21, 700])
+def test_second_round_against_brute_force(docs_of, monkeypatch, per_block):
+    """A dense group whose texts are mostly apart: links as by comparing all pairs, in whole
+    buckets and in buckets cut into parts."""
+    from vistaframe.llm import similar
+    from vistaframe.llm.simhash import Wider
+
+    monkeypatch.setattr(similar, "PER_BLOCK", per_block)
+    rng, base = random.Random(9), [f"w{k}" for k in range(90)]
+    texts = []
+    for k in range(70):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5])):
+            words[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            near = jaccard(texts[i], texts[j]) >= 0.8 or ((fingerprint(texts[i]) ^ fingerprint(texts[j])) % (1 << 64)).bit_count() <= 4
+            if near and label[i] != label[j]:
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    out = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(texts), wider=Wider()).collect()}
+    assert [out[i] for i in range(len(texts))] == label and 1 < len(set(label)) < len(texts)

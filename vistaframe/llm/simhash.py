@@ -84,12 +84,12 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def signature(text: str | None, shingle: int = SHINGLE, sketched: bool = False) -> tuple[int, bytes | None]:
     """The fingerprint as a signed 64-bit integer and, if asked for, the sketch."""
-    fp, least = signed(text, shingle, sketched)
+    fp, least, _ = signed(text, shingle, sketched)
     return fp, sketch_of(least) if sketched else None
 
 
-def signed(text: str | None, shingle: int = SHINGLE, hashed: bool = False) -> tuple[int, np.ndarray | None]:
-    """The fingerprint and, if asked for, the least hashes of the shingles one word longer."""
+def signed(text: str | None, shingle: int = SHINGLE, hashed: bool = False) -> tuple[int, np.ndarray | None, int]:
+    """The fingerprint, if asked for the least hashes of the shingles one word longer, and the number of shingles."""
     n, bits, last, least = 0, np.zeros(64, np.int64), None, least_hashes(None)
     for h in shingle_hashes(text, shingle):
         bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -98,7 +98,7 @@ def signed(text: str | None, shingle: int = SHINGLE, hashed: bool = False) -> tu
             least = least_hashes(longer(h, last, n == 1), least)
             last = h[-1:]
     fp = int(np.packbits(2 * bits > n, bitorder="little").view("<i8")[0]) if n else 0
-    return fp, least if hashed else None
+    return fp, least if hashed else None, n
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -107,21 +107,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", sketched: bool = False, noded: bool = False) -> DataFrame:
     """(doc_id, fp) for every row, fp a long; with ``noded`` also node (a hash of the
-    text), with ``sketched`` node, sketch and bands."""
+    text), with ``sketched`` node, n (shingles), sketch and bands."""
     noded = noded or sketched
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [signed(t.as_py(), shingle, sketched) for t in batch.column(2)]
-            out = [batch.column(0), pa.array([f for f, _ in found], pa.int64())]
+            out = [batch.column(0), pa.array([x[0] for x in found], pa.int64())]
             names = ["doc_id", "fp"]
             if noded:
                 out, names = [*out, batch.column(1)], [*names, "node"]
             if sketched:
-                out, names = [*out, *with_bands([x for _, x in found])], [*names, "sketch", "bands"]
+                out = [*out, pa.array([x[2] for x in found], pa.int64()), *with_bands([x[1] for x in found])]
+                names = [*names, "n", "sketch", "bands"]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    schema = "doc_id long, fp long" + ", node long" * noded + ", sketch binary, bands array<long>" * sketched
+    schema = "doc_id long, fp long" + ", node long" * noded + ", n long, sketch binary, bands array<long>" * sketched
     return map_batches(docs.select(F.col("doc_id").cast("long"), node_of(text), F.col(text)), kernel, schema)
 
 
