@@ -238,7 +238,7 @@ def test_query_returns_the_contract(spark, sf):
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in rows.items()} == {i: (f"{fps[i]:016x}", root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("per_block", [1 << 21, 700])
+@pytest.mark.parametrize("per_block", [1 << 19, 700])
 def test_second_round_against_brute_force(docs_of, monkeypatch, per_block):
     """A dense group whose texts are mostly apart: links as by comparing all pairs, in whole
     buckets and in buckets cut into parts."""

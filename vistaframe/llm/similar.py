@@ -42,7 +42,7 @@ SPREAD = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np
 STEP, BLOCK = 512, 1 << 16
 MAX_BROADCAST_PAIRS = 1_000_000
 #: Shingles of the texts in one part of a bucket.
-PER_BLOCK = 1 << 21
+PER_BLOCK = 1 << 19
 
 
 @dataclass(frozen=True)

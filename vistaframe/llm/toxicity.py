@@ -53,7 +53,7 @@ SETTLE = 25
 PASSAGE = 64
 #: Added to the weight of a token that ends a sentence.
 ENDS = 1e6
-MOST_TOKENS_KEPT = 400_000
+MOST_TOKENS_KEPT = 100_000
 
 
 class Model(NamedTuple):
@@ -219,16 +219,19 @@ def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
     """The columns of ``keep``, ``score``, and with ``locate`` the ordinals of the
     sentences that score half or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of words of the bounded sample
-    own = docs.select(*(column(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col("text").alias("__text"))
-    schema = T.StructType(own.schema.fields[:-1]).add("__score", "double").add("__offending", T.ArrayType(T.IntegerType()))
+    own = docs.select(*(column(c).alias(f"__{i}") for i, c in enumerate(keep)))
+    kept = list(own.schema.fields)
+    at_text = keep.index("text") if "text" in keep else len(keep)  # a text that is kept goes out and comes in once
+    if at_text == len(keep):
+        own = docs.select(*(column(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col("text").alias("__text"))
+    schema = T.StructType(kept).add("__score", "double").add("__offending", T.ArrayType(T.IntegerType()))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            *own, text = batch.columns
-            found = [scorer.sentence_scores(t.as_py()) for t in text]
+            found = [scorer.sentence_scores(t.as_py()) for t in batch.column(at_text)]
             at = [np.flatnonzero(p >= 0.5).tolist() if locate else None for p in found]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(map(document_score, found), pa.float64()), pa.array(at, pa.list_(pa.int32()))], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(map(document_score, found), pa.float64()), pa.array(at, pa.list_(pa.int32()))], schema.names)
 
     out = map_batches(own, kernel, schema)
     named = [F.col(f"__{i}").alias(c) for i, c in enumerate(keep)]
@@ -241,8 +244,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_ch
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all their columns, that score below one half."""
-    names = [f"__{i}" for i in range(len(docs.columns))]
-    plain = docs.select(*(column(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col("text"))
+    names = ["text" if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)]
+    plain = docs.select(*(column(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
     scored = score_toxicity(plain, learn(docs, labels), tuple(names)).where("score < 0.5")
     return scored.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
