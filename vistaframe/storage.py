@@ -78,14 +78,20 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
 
 
 _paths: dict[int, tuple[DataFrame, str]] = {}
+#: Bytes that a file of a table of known size holds, at the least.
+FILE_BYTES = 1 << 24
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, size: int | None = None) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read back: lineage ends
     there, columnar and compressed, and no executor's loss can take the rows away.
-    The folder goes when the interpreter ends, or by ``discard``."""
+    ``size``: about how many bytes there are, if known; then no more files are made
+    than that fills, or than there are cores. The folder goes when the interpreter
+    ends, or by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if size is not None:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
     df.write.parquet(path)
     atexit.register(delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
