@@ -56,6 +56,8 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.
 PER_NODE, LEAST_DEPTH = 1 << 18, 6
 BLOCK, LEAF, CHUNK = 1 << 20, 64, 1 << 18
 MAX_BROADCAST_ROWS = 1_000_000
+#: Bytes of a row of a few longs.
+ROW_BYTES = 32
 
 
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -287,26 +289,30 @@ def link_fingerprints(fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataF
     return map_batches(dealt, _links(depth, orders, max_bits), "u long, v long")
 
 
-def _classes(docs: DataFrame, max_bits: int, shingle: int, wider: Wider | None, name: Column, noded: bool) -> DataFrame:
-    """The rows of ``fingerprints`` and ``named``: the least ``name`` of each row's component."""
+def _classes(docs: DataFrame, max_bits: int, shingle: int, wider: Wider | None, name: Column, noded: bool) -> tuple[DataFrame, int]:
+    """The rows of ``fingerprints`` and ``named``, the least ``name`` of each row's component; and
+    the bytes of a table of some longs for each row."""
     rows = written(fingerprints(docs, shingle, sketched=wider is not None, noded=noded), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min(name).alias("least")), "distinct")
+    size = rows.count() * ROW_BYTES  # of the tables of a row for each fingerprint, at most
+    distinct = written(rows.groupBy("fp").agg(F.min(name).alias("least")), "distinct", size)
     links = link_fingerprints(distinct.select("fp"), distinct.count(), max_bits)
+    most = None
     if wider:
         links = similar_links(docs.select(node_of(), "text"), rows, written(links, "links"), wider, shingle)
-    labels = components(links)
+        most = links.count()
+    labels = components(links, n=most)
     of = distinct.join(labels, distinct["fp"] == labels["node"]).select("fp", "label", "least")
     named = of.groupBy("label").agg(F.min("least").alias("named"))
     linked = of.join(named, "label").select("fp", "named")
     # a table of its own, so that the last join has an exchange on either side and adaptive
     # execution may split a fingerprint that many copies share
-    known = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("named")), "known")
-    return rows.join(known, "fp", "left").select("doc_id", *(["node"] if noded else []), "fp", "named")
+    known = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("named")), "known", size)
+    return rows.join(known, "fp", "left").select("doc_id", *(["node"] if noded else []), "fp", "named"), size
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, wider: Wider | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
-    return _classes(docs, max_bits, shingle, wider, F.col("doc_id"), False).withColumnRenamed("named", "component_id")
+    return _classes(docs, max_bits, shingle, wider, F.col("doc_id"), False)[0].withColumnRenamed("named", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, wider: Wider | None = None) -> DataFrame:
@@ -316,10 +322,11 @@ def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int
     one doc_id, or of none, stay as long as their texts are unlike; of rows alike in
     both any one stays."""
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    found = _classes(docs, max_bits, shingle, wider, first, True)
+    found, size = _classes(docs, max_bits, shingle, wider, first, True)
     stays = F.col("doc_id").eqNullSafe(F.col("named")["doc_id"]) & (F.col("node") == F.col("named")["node"])
     keys = found.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), stays.alias("__stays"))
-    keys = written(keys.groupBy("__id", "__node", "__stays").agg(F.count("*").alias("__n")).where("not __stays or __n > 1"), "components")
+    keys = keys.groupBy("__id", "__node", "__stays").agg(F.count("*").alias("__n")).where("not __stays or __n > 1")
+    keys = written(keys, "components", size)
     n = keys.count()
     few = F.broadcast if n <= MAX_BROADCAST_ROWS else lambda df: df  # of two longs each
     met = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (node_of() == F.col("__node"))

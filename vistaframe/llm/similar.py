@@ -41,6 +41,8 @@ TIMES = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 SPREAD = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 STEP, BLOCK = 512, 1 << 16
 MAX_BROADCAST_PAIRS = 1_000_000
+#: Bytes of a text's row with sketch and bands, and of its rows in the buckets.
+TEXT_BYTES, BUCKET_BYTES = 3 * 8 + SLOTS + 8 * BANDS, 3 * 8 * BANDS
 #: Shingles of the texts in one part of a bucket.
 PER_BLOCK = 1 << 19
 
@@ -211,39 +213,39 @@ def few(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= MAX_BROADCAST_PAIRS else rows
 
 
-def _with_labels(own: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links).withColumnRenamed("node", "at")
+def _with_labels(own: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    labels = components(links, n=links.count()).withColumnRenamed("node", "at")
     of = own.join(labels, F.col("fp") == F.col("at"), "left").select("node", "fp", F.coalesce("label", "fp").alias("label"), "n", "sketch", "bands")
-    return written(of, "labelled")
+    return written(of, "labelled", n * TEXT_BYTES)
 
 
-def _met(of: DataFrame) -> DataFrame:
+def _met(of: DataFrame, n: int) -> DataFrame:
     """(key, node) of the buckets that hold more than one component."""
     dealt = of.select("node", "label", "n", F.explode("bands").alias("key"))
     mixed = dealt.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("all")).where("lo <> hi")
-    return written(dealt.join(mixed.select("key", "all"), "key").select("key", "node", "all"), "met")
+    return written(dealt.join(mixed.select("key", "all"), "key").select("key", "node", "all"), "met", n * BUCKET_BYTES)
 
 
-def _first_round(texts: DataFrame, of: DataFrame, wider: Wider, shingle: int, parts: int) -> DataFrame:
+def _first_round(texts: DataFrame, of: DataFrame, n: int, wider: Wider, shingle: int, parts: int) -> DataFrame:
     """Links of texts to the first of a bucket that they share with it."""
-    met = _met(of)
+    met = _met(of, n)
     buckets = met.join(of.select("node", "fp", "label", "sketch"), "node").select("key", "node", "fp", "label", "sketch")
     buckets = buckets.repartition(parts, "key").sortWithinPartitions("key")
     pairs = written(map_batches(buckets, _pairs, "a long, b long, u long, v long").distinct(), "pairs")
-    n = pairs.count()
-    sides = written(pairs.select(F.col("a").alias("node"), "a", "b", "u", "v").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "u", "v")), "sides")
-    wanted = texts.join(few(sides.select("node").distinct(), n), "node", "left_semi").dropDuplicates(["node"])
-    told = wanted.join(few(sides, n), "node").select("a", "b", "u", "v", "text")
+    met_pairs = pairs.count()
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "u", "v")
+    wanted = texts.join(few(sides.select("node").distinct(), met_pairs), "node", "left_semi").dropDuplicates(["node"])
+    told = wanted.join(few(sides, met_pairs), "node").select("a", "b", "u", "v", "text")
     told = told.repartition(parts, "a", "b").sortWithinPartitions("a", "b")
     found = written(map_batches(told, _verify(wider.similarity, shingle), "u long, v long"), "similar")
-    for done in (met, pairs, sides):
+    for done in (met, pairs):
         discard(done)
     return found
 
 
-def _second_round(texts: DataFrame, of: DataFrame, wider: Wider, shingle: int, parts: int) -> DataFrame:
+def _second_round(texts: DataFrame, of: DataFrame, n: int, wider: Wider, shingle: int, parts: int) -> DataFrame:
     """Links between texts that are still apart in a bucket."""
-    met = _met(of)
+    met = _met(of, n)
     cut = met.withColumn("c", F.ceil(F.col("all") / PER_BLOCK).cast("int"))
     cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), "c").cast("long"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c").cast("long") - 1)))
@@ -267,9 +269,10 @@ def similar_links(texts: DataFrame, rows: DataFrame, links: DataFrame, wider: Wi
     """``links`` (u, v) of fingerprints, and more, so that all texts of the similarity
     are joined. ``texts``: (node, text); ``rows``: (fp, node, n, sketch, bands)."""
     parts = max(shuffles(rows.sparkSession), 8)
-    own = written(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "n", "sketch", "bands"))), "texts")
+    own = written(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "n", "sketch", "bands"))), "texts", rows.count() * TEXT_BYTES)
+    n = own.count()
     for another in (_first_round, _second_round):
-        of = _with_labels(own, links)
-        links = links.unionByName(another(texts, of, wider, shingle, parts))
+        of = _with_labels(own, links, n)
+        links = links.unionByName(another(texts, of, n, wider, shingle, parts))
         discard(of)
     return links
